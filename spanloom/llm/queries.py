@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, lookalike, survivor, term_frequency
+from spanloom.llm import bpe, history, lookalike, survivor, term_frequency
 from spanloom.session import table
 
 
@@ -18,6 +18,25 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_terms(spark, d).where(F.col("mark").isNotNull()).select("term", "type", "mark")
 
 
+def p2_repeats(spark: SparkSession, d: str) -> DataFrame:
+    index = history.HistoryIndex(spark)
+    index.add_documents(table(spark, d, "nav_document"))
+    return index.probe(table(spark, d, "document_batch"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_repeats(spark, d).select(F.least("id", "repeats").alias("id_a"), F.greatest("id", "repeats").alias("id_b")).distinct()
+
+
+def p2_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Each row of the batches as new or as repeating a document; a row that came before under its own id is 'again'."""
+    rows = table(spark, d, "document_batch").where(F.col("id").isNotNull()).select("batch_no", "id").distinct()
+    first = rows.groupBy("id").agg(F.min("batch_no").alias("first"))
+    told = rows.join(first, "id").join(p2_repeats(spark, d).select("id", "repeats"), "id", "left")
+    verdict = F.when(F.col("batch_no") > F.col("first"), "again").when(F.col("repeats").isNotNull(), "repeat").otherwise("new")
+    return told.select("batch_no", "id", verdict.alias("verdict"), F.when(verdict == "repeat", F.col("repeats")).alias("repeats"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "nav_document")
     grouped = survivor.with_group(rows, survivor.chain_ends(rows))
@@ -51,7 +70,7 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trips(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p4_found, p4_survivors, p6_found, p6_form, p7_ids, p7_round_trip)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_verdicts, p4_found, p4_survivors, p6_found, p6_form, p7_ids, p7_round_trip)}
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
