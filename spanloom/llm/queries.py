@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, history, lookalike, survivor, term_frequency
+from spanloom.llm import bpe, canonical, history, lookalike, survivor, term_frequency
 from spanloom.session import table
 
 
@@ -48,6 +48,10 @@ def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "nav_document"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_values(table(spark, d, "keyword"), table(spark, d, "canon_term"))
+
+
 def p6_rows(spark: SparkSession, d: str) -> DataFrame:
     kw = table(spark, d, "keyword").select(F.lit("keyword").alias("tbl"), F.col("id").cast("string").alias("key"), "value")
     dt = table(spark, d, "datum").select(F.lit("datum").alias("tbl"), F.col("id").alias("key"), F.col("text").alias("value"))
@@ -70,7 +74,7 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trips(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_verdicts, p4_found, p4_survivors, p6_found, p6_form, p7_ids, p7_round_trip)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_verdicts, p4_found, p4_survivors, p5_found, p6_found, p6_form, p7_ids, p7_round_trip)}
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
