@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, canonical, history, lookalike, survivor, term_frequency
+from spanloom.llm import bpe, canonical, history, lookalike, sentences, survivor, term_frequency
 from spanloom.session import table
 
 
@@ -37,6 +37,10 @@ def p2_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return told.select("batch_no", "id", verdict.alias("verdict"), F.when(verdict == "repeat", F.col("repeats")).alias("repeats"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "datum"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "nav_document")
     grouped = survivor.with_group(rows, survivor.chain_ends(rows))
@@ -74,7 +78,7 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trips(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_verdicts, p4_found, p4_survivors, p5_found, p6_found, p6_form, p7_ids, p7_round_trip)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_verdicts, p3_found, p4_found, p4_survivors, p5_found, p6_found, p6_form, p7_ids, p7_round_trip)}
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
