@@ -168,6 +168,16 @@ class Encoder:
         np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
+    def lengths(self, texts: list[str | None]) -> list[int]:
+        """The number of ids of each text, without listing them."""
+        find = _pattern().findall
+        words = [find(t) if t else [] for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.learn({w for ws in words for w in ws}.difference(self.known))
+        n = {w: len(b) // 4 for w, b in self.known.items()}
+        return [sum(map(n.__getitem__, ws)) for ws in words]
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.vocab.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -187,6 +197,18 @@ def encode_texts(docs: DataFrame, path: str | None = None, key: str = "doc_id",
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
+def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, tokens) for every row."""
+    path = path or f"{TOKENIZERS}/{VOCABULARY}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = Encoder(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.lengths(b.column(1).to_pylist()), pa.int64())], names=["doc_id", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens long")
+
+
 def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, same): whether decoding the ids gives the text again."""
     path = path or f"{TOKENIZERS}/{VOCABULARY}"

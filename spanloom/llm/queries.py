@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, canonical, history, lookalike, sentences, survivor, term_frequency
+from spanloom.llm import bpe, canonical, history, lookalike, packing, sentences, subjects, survivor, term_frequency
 from spanloom.session import table
 
 
@@ -78,7 +78,29 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trips(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_verdicts, p3_found, p4_found, p4_survivors, p5_found, p6_found, p6_form, p7_ids, p7_round_trip)}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(bpe.token_counts(table(spark, d, "documents")), table(spark, d, "container_spec"))
+
+
+def p8_room(spark: SparkSession, d: str) -> DataFrame:
+    return packing.unused_room(p8_containers(spark, d), table(spark, d, "container_spec"))
+
+
+def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_label"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject and language: documents and sentences."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    return p9_subjects(spark, d).join(docs, "doc_id").groupBy("subject", "lang").agg(F.count_distinct("doc_id").alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_verdicts, p3_found, p4_found, p4_survivors, p5_found, p6_found, p6_form, p7_ids, p7_round_trip, p8_containers, p8_room, p9_found, p9_subjects, p9_composition)}
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
