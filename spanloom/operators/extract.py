@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import documents, sentences, spans
 from spanloom.operators.store import Store, save, saved_data
-from spanloom.plans.skew import lookup_join
 from spanloom.schemas import EXTRACTED, SPANS
 
 #: A tagger gets the tokens of a document's sentences and gives a tag for each token.
@@ -41,7 +40,7 @@ def tag_with(load: Callable[[], Tagger]):
 
 def tokenized(text: Column) -> Column:
     """Tokens of each sentence: array<array<struct<token, offset>>>."""
-    return F.transform(sentences.extract_sentences(text), spans.tokens_of)
+    return F.transform(sentences.extract_sentences(text), lambda s: spans.tokens_of(s))
 
 
 def extract(texts: DataFrame, load: Callable[[], Tagger], with_bio: bool = True) -> DataFrame:
@@ -88,7 +87,8 @@ def extract_by_dictionary(texts: DataFrame, keywords: DataFrame, max_words: int
     )
     every = tok.select("id", "text", F.explode(runs).alias("r")).select("id", F.lower(spans.cut(F.col("text"), F.col("r.start"), F.col("r.end"))).alias("value"), "r.start", "r.end")
     dictionary = keywords.groupBy("value").agg(F.min_by("type", "id").alias("class"))
-    hits = lookup_join(every, dictionary, "value", "inner")
+    # Runs that are common but no keyword would make a join by value lopsided; the adaptive skew join splits them.
+    hits = every.join(dictionary, "value")
     per = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), "class"))).alias("h"))
     taken = F.aggregate(
         "h",

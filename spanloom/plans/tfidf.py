@@ -19,6 +19,7 @@ from spanloom.session import stage
 
 EPS = 0.2
 _SLACK = 1e-9
+BUCKETS = 48
 
 
 def terms(text: Column) -> Column:
@@ -60,6 +61,18 @@ def similar_classes(docs: DataFrame, part: list[str] = (), eps: float = EPS) ->
     # A term of one class only can have no partner; the others join on the shared prefix term.
     prefix = x.where((F.col("before") <= 1 - least * least + _SLACK) & (F.col("classes") > 1)).select(*part, "w", "id")
     met = prefix.select(*part, "w", F.col("id").alias("a")).join(prefix.select(*part, "w", F.col("id").alias("b")), [*part, "w"]).where("a < b").select(*part, "a", "b").distinct()
+    # The norm of a vector on each of a few buckets of terms: by Cauchy-Schwarz in each bucket the sum of products of norms is no
+    # less than the cosine, so candidates it holds below the threshold are no pairs. That spares nearly all exact products.
+    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS))
+    norms = x.groupBy(*part, "id").agg(F.array(*[F.sqrt(F.sum(F.when(bucket == i, F.col("v") * F.col("v")).otherwise(0.0))) for i in range(BUCKETS)]).alias("norms"))
+    bound = F.aggregate(F.zip_with("na", "nb", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    met = (
+        met.join(norms.select(*part, F.col("id").alias("a"), F.col("norms").alias("na")), [*part, "a"])
+        .join(norms.select(*part, F.col("id").alias("b"), F.col("norms").alias("nb")), [*part, "b"])
+        .where(bound >= least - _SLACK)
+        .select(*part, "a", "b")
+    )
+    met = stage(met, "met")
     vectors = x.select(*part, "id", F.struct("w", "v").alias("t")).join(
         met.select(*part, F.col("a").alias("id")).union(met.select(*part, F.col("b").alias("id"))).distinct(), [*part, "id"], "left_semi"
     )

@@ -116,7 +116,7 @@ def training_files(spark, d):
         F.struct(F.when(F.size("entities") > 0, F.substring_index("id", "-", -1)).alias("id")).alias("meta"),
     )
     jsonl.write_jsonl(rows.drop("status"), f"{path}/a")
-    jsonl.write_jsonl(rows.where("kind = 'rpd'").withColumn("text", F.upper("text")).drop("status"), f"{path}/b")
+    jsonl.write_jsonl(rows.where("kind = 'rpd'").withColumn("text", F.concat(F.lit("# "), "text")).drop("status"), f"{path}/b")
     got = jsonl.read_training(spark, [f"{path}/a", f"{path}/b"])
     return training.of_kinds(got, ["rpd", "vac"]).select("id", "kind", "text", "file_no")
 
@@ -175,7 +175,7 @@ ORACLE = {
     "S1_S2_jsonl_round_trip": f"""with {DATA} select d.id, string_split(d.id, '-')[1] as kind, d.text, e."start" as "start", e."end" as "end", e."class" as "class"
         from data d left join (select id, unnest(entities) as e from data) using (id) where d.text is not null""",
     "S4_F9_C17_training_files": f"""with {DATA}, r as (select string_split(id, '-')[2] as n, string_split(id, '-')[1] as kind, text, coalesce(len(entities), 0) > 0 as m from data where text is not null)
-        select kind || '-' || case when kind = 'rpd' and not m then 'unk-' || n else n end as id, kind, case when kind = 'rpd' then upper(text) else text end as text, case when kind = 'rpd' then 1 else 0 end as file_no
+        select kind || '-' || case when kind = 'rpd' and not m then 'unk-' || n else n end as id, kind, case when kind = 'rpd' then '# ' || text else text end as text, case when kind = 'rpd' then 1 else 0 end as file_no
         from r where kind in ('rpd', 'vac')""",
     "S6_dictionary": "select distinct lower(name) as word from canon_term where type = 'ProgLanguage'",
     "S10_A12_health": "select 4::bigint as ok, 0::bigint as failed, 4::bigint as total",
