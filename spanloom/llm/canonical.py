@@ -225,8 +225,8 @@ class Matcher:
         near = {c for t in got for c in self.tokens[t]}
         for compact in near:
             name = self.names[compact]
-            # Words of up to three letters say too little to be asked for.
-            if all(t in got for t in name if len(t) > 3) and any(len(t) > 3 for t in name):
+            # Words of up to three letters say too little to be asked for; numbers are.
+            if all(t in got for t in name if len(t) > 3 or t.isdigit()) and any(len(t) > 3 for t in name):
                 score = round(sum(got.get(t, 0) * len(t) for t in name) / len(compact), 6)
                 if score > top:
                     best, top = [compact], score

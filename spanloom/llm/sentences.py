@@ -1,7 +1,7 @@
 """Problem 3: sentence boundaries across languages and scripts.
 
 Statistics are learned from the corpus itself, per language, without supervision: how often each word has
-a period, begins after a sure break (text start, line start, after ! or ?), and follows which word. From them
+a period, begins after a sure break (text start, line start, after ! or ?, after a long word with a period), and follows which word. From them
 come, by log-likelihood ratios, abbreviations, sentence starters, and words that collocate with a number
 and its period (ordinals). Counting and scoring are aggregations; each text then receives only the learned words it
 contains, by a join, so no table of words is broadcast or collected.
@@ -37,6 +37,8 @@ from spanloom.session import stage
 ABBREVIATION = 0.3
 RATIO = 7.88
 LAST_WORD = 0.9
+#: Letters from which a word with a period counts as the end of a sentence while starters are learned.
+LONG_WORD = 5
 
 # Frequent words that tell languages of Latin script apart.
 FUNCTION_WORDS = {
@@ -131,13 +133,15 @@ def language(text: str) -> str:
 def observe(text: str) -> tuple[str, list[tuple[str, bool, bool]], list[tuple[str, str, str]]]:
     """(language, [(word, has period, after a sure break)], [(word with period, next word, kind)])."""
     s, _ = clean(text)
-    # A period before a capital with the blank missing parts two words.
-    s = _GLUED.sub(". ", s)
+    # A period before a capital with the blank missing parts two words, but is no sure break: names have such points too.
+    s = _GLUED.sub(".\x1f ", s)
     tokens = list(_TOKEN.finditer(s))
     words, pairs = [], []
     for k, m in enumerate(tokens):
         gap = s[tokens[k - 1].end() : m.start()] if k else ""
         sure = not k or "\n" in gap or any(c in "!?…" or c in OWN_MARKS for c in gap.rstrip(OPENERS + " \"'-—–*•¿¡"))
+        if k and not sure and gap.startswith(". ") and len(tokens[k - 1][0]) >= LONG_WORD and tokens[k - 1][0].isalpha():
+            sure = True  # a long word is hardly ever cut short
         w = word_type(m[0])
         period = s[m.end() : m.end() + 1] == "." and s[m.end() + 1 : m.end() + 2] != "."
         words.append((w, period, sure))

@@ -65,8 +65,8 @@ def chain_ends(rows: DataFrame, id_col: str = "id", parent_col: str = "root_id",
 
 def with_group(rows: DataFrame, ends: DataFrame) -> DataFrame:
     """``rows`` with ``group_id``: the end of the row's chain, or its own id."""
-    found = rows.join(ends.select(F.col("id").alias("_id"), "end"), F.col("id") == F.col("_id"), "left")
-    return found.withColumn("group_id", F.coalesce("end", "id")).drop("_id", "end")
+    found = rows.join(ends.select(F.col("id").alias("_id"), F.col("end").alias("_end")), F.col("id") == F.col("_id"), "left")
+    return found.withColumn("group_id", F.coalesce("_end", "id")).drop("_id", "_end")
 
 
 def default_filled() -> dict[str, Column]:
