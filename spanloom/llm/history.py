@@ -11,7 +11,9 @@ and B the share kept is |A and B| / max(|A|, |B|); a text repeats another when i
 more. That lies between one word in six changed (0.833) and more than a quarter (below 0.75).
 
 Texts of equal words form a class with one fingerprint. Within a task only the first of them has band keys, so
-a group of copies, however large, puts at most one row per task into a bucket.
+a group of copies, however large, puts at most one row per task into a bucket. A large group of near copies crowds its
+buckets: there each class meets the first of the bucket, and only classes that seem new afterwards meet the others, until
+nothing changes. Of several repeated documents the most similar of those met is then named.
 
 Cases: a null text, an empty one or one of fewer than ``LEAST_WORDS`` words has no content: it
 repeats nothing and is not repeated. A batch row whose id came in an earlier batch (or is
@@ -43,6 +45,8 @@ SKETCH = 64
 #: Signatures that agree on less than this share are no candidates: 3.7 standard deviations below the
 #: agreement of two texts with one word in six changed (0.714).
 SKETCH_LEAST = 0.5
+#: Classes of a batch in one bucket from which the bucket is crowded.
+CROWD = 200
 
 _TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
@@ -180,15 +184,41 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["fp", "other"])
 
 
-def similar_classes(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(fp, other, kept): classes of ``new`` with the different classes of ``old`` and ``new`` they are similar to.
+def _both(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Entries with band keys of either side, with their place in the order: history first, then batch number and id."""
+    cols = ["fp", "n", "words", "sketch", "bands"]
+    place = lambda b: F.struct(b.cast("long").alias("batch_no"), F.col("id").cast("long").alias("id"))
+    a = old.select(*cols, place(F.lit(-1)).alias("place"))
+    return a.unionByName(new.select(*cols, place(F.col("batch_no")).alias("place"))).where(F.col("sketch").isNotNull())
 
-    Between two classes of ``new`` both directions come out.
+
+def crowded(new: DataFrame, most: int = CROWD) -> DataFrame:
+    """(key): buckets that more than ``most`` classes of the batch are in."""
+    keys = new.where(F.col("sketch").isNotNull()).select("fp", F.explode("bands").alias("key"))
+    return keys.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > most).select("key")
+
+
+def meet(new: DataFrame, old: DataFrame, crowds: DataFrame | None, full: bool = False) -> DataFrame:
+    """(fp, other): classes of ``new`` with the different classes they share a bucket with.
+
+    In a crowded bucket each class meets only the first class of the bucket, so the pairs grow with the bucket, not with its square; with
+    ``full`` the classes of ``new`` meet everything in the crowded buckets, and nothing else.
     """
-    both = old.select("fp", "n", "words", "sketch", "bands").unionByName(new.select("fp", "n", "words", "sketch", "bands")).where(F.col("sketch").isNotNull())
     mine = new.where(F.col("sketch").isNotNull()).select("fp", F.explode("bands").alias("key"))
-    theirs = both.select(F.col("fp").alias("other"), F.explode("bands").alias("key"))
-    met = stage(mine.join(theirs, "key").where("fp <> other").select("fp", "other").distinct(), "met")
+    theirs = _both(new if not full else new.limit(0), old).select(F.col("fp").alias("other"), "place", F.explode("bands").alias("key"))
+    if full:
+        theirs = theirs.join(crowds, "key", "left_semi")
+        return mine.join(theirs.select("other", "key"), "key").where("fp <> other").select("fp", "other").distinct()
+    if crowds is None:
+        return mine.join(theirs.select("other", "key"), "key").where("fp <> other").select("fp", "other").distinct()
+    first = theirs.join(crowds, "key", "left_semi").groupBy("key").agg(F.min_by("other", F.struct("place", "other")).alias("other"))
+    apart = mine.join(crowds, "key", "left_anti").join(theirs.select("other", "key"), "key")
+    return apart.select("fp", "other").unionByName(mine.join(first, "key").select("fp", "other")).where("fp <> other").distinct()
+
+
+def verify(met: DataFrame, both: DataFrame) -> DataFrame:
+    """(fp, other, kept): the pairs that are similar, by signature first, then on all words."""
+    met = stage(met, "met")
     # The same class may have been first in several tasks, with the same signature and words.
     sketches = both.select("fp", "sketch").dropDuplicates(["fp"])
     near = (
@@ -234,9 +264,10 @@ def resolve(leaders: DataFrame, edges: DataFrame) -> DataFrame:
 class HistoryIndex:
     """Entries of everything accepted, as tables in one folder; each append adds files and reads none."""
 
-    def __init__(self, spark, path: str | None = None) -> None:
+    def __init__(self, spark, path: str | None = None, crowd: int = CROWD) -> None:
         import uuid
 
+        self.crowd = crowd
         self.spark, self.path = spark, path or f"{work_dir(spark)}/spanloom/history-{uuid.uuid4().hex}"
 
     def append(self, found: DataFrame) -> None:
@@ -264,16 +295,36 @@ class HistoryIndex:
         known = old.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
         leaders = place.groupBy("fp").agg(F.min(F.struct(F.col("batch_no").cast("long").alias("batch_no"), "id")).alias("place"))
         leaders = stage(leaders.join(known.select("fp", F.lit(True).alias("known")), "fp", "left").select("fp", "place", F.coalesce("known", F.lit(False)).alias("known")), "leaders")
-        near = stage(similar_classes(new, old), "similar")
-        # Similar classes of the history decide at once; between classes of the batch the earlier one counts.
-        past = near.join(known.withColumnRenamed("fp", "other"), "other").select("fp", "other", "kept", "low", "high")
-        past = stage(past, "past")
-        settled = leaders.join(past.select("fp").distinct().withColumn("near", F.lit(True)), "fp", "left")
-        settled = settled.select("fp", "place", (F.col("known") | F.coalesce("near", F.lit(False))).alias("known"))
-        later = leaders.where(~F.col("known")).select(F.col("fp").alias("other"), F.col("place").alias("place_other"))
-        inner = stage(near.join(leaders, "fp").join(later, "other").where("place_other < place").select("fp", "other", "kept"), "inner")
-        decided = resolve(settled, inner.select("fp", F.col("other").alias("earlier")))
-        accepted = decided.where("accepted").select("fp")
+        crowds = stage(crowded(new, self.crowd), "crowds")
+        if crowds.isEmpty():
+            crowds = None
+        near = stage(verify(meet(new, old, crowds), _both(new, old)), "similar")
+        seen = None
+        while True:
+            # Similar classes of the history decide at once; between classes of the batch the earlier one counts.
+            past = stage(near.join(known.withColumnRenamed("fp", "other"), "other").select("fp", "other", "kept", "low", "high"), "past")
+            settled = leaders.join(past.select("fp").distinct().withColumn("near", F.lit(True)), "fp", "left")
+            settled = settled.select("fp", "place", (F.col("known") | F.coalesce("near", F.lit(False))).alias("known"))
+            later = leaders.where(~F.col("known")).select(F.col("fp").alias("other"), F.col("place").alias("place_other"))
+            inner = stage(near.join(leaders, "fp").join(later, "other").where("place_other < place").select("fp", "other", "kept"), "inner")
+            decided = resolve(settled, inner.select("fp", F.col("other").alias("earlier")))
+            accepted = decided.where("accepted").select("fp")
+            if crowds is None:
+                break
+            # What was told new in a crowded bucket has met only the first of it. It now meets the rest; that settles
+            # every class that is decided as new, and a group of near copies has few of those.
+            inside = new.where(F.col("sketch").isNotNull()).select("fp", F.explode("bands").alias("key")).join(crowds, "key", "left_semi").select("fp").distinct()
+            todo = inside.join(accepted, "fp", "left_semi")
+            todo = stage(todo if seen is None else todo.join(seen, "fp", "left_anti"), "todo")
+            if todo.isEmpty():
+                break
+            seen = todo if seen is None else stage(seen.unionByName(todo), "seen")
+            both = _both(new, old)
+            more = meet(new.join(todo, "fp", "left_semi"), both.select("fp", "n", "words", "sketch", "bands", F.col("place.id").alias("id")), crowds, full=True)
+            found = verify(more, both)
+            # A new pair counts in both directions.
+            turned = found.select(F.col("other").alias("fp"), F.col("fp").alias("other"), "kept").join(leaders.select("fp"), "fp", "left_semi")
+            near = stage(near.unionByName(found).unionByName(turned).distinct(), "similar")
 
         # What each class repeats: its own text in the history or in the batch, a similar one in the history, a similar one accepted from the batch.
         at = leaders.select("fp", F.col("place.id").alias("leader"))
