@@ -166,6 +166,7 @@ ORACLE = {
         union all select (select max(id) from kw) + row_number() over (order by value), value, type, timestamp '2032-01-01' from found where value not in (select value from kw)""",
     "A9_J9_keyword_values": f"""with {DATA}, {SPANS}, {_KEYWORDS} select s.value, count(*) as n_spans, count(distinct s.id) as n_texts, any_value(k.id) as keyword_id
         from spans s left join kw k using (value) where text is not null group by s.value""",
+    "A5_status_of_values": f"with {DATA} select id, {strip_sql('lower(s.key)')} as value, s.value as status from (select id, unnest(map_entries(status)) as s from data)",
     "M4_C16_link_upsert": f"""with {DOCS}, {_LINKS}, {_NEW}
         select l.document_id, l.keyword_id, case when f.document_id is not null then 'confirmed' else l.status end as status, cast(len(l.meta.indices) as int) as n_marks, l.created_at,
             case when f.document_id is not null then timestamp '2032-01-01' else l.updated_at end as updated_at

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from spanloom.functions import text as t
 from spanloom.functions.markup import text_of_html
 from spanloom.operators import entities, extract, punctuation, sentences, spans, training
-from spanloom.queries.common import DATA, SPANS, data, docs, strip_sql
+from spanloom.queries.common import DATA, DOCS, SPANS, data, docs, strip_sql
 from spanloom.session import table
 from spanloom.transformers import TextLemmatizer, TextNormalizer, TextStemmer, stop_words
 
@@ -354,6 +354,21 @@ ORACLE = {
         union all select id, cast(2 * n as int), substring(text, spot + 1), null from ends""",
     "T16_label_list": """with l as (select 0 as o, 'O' as label union all select 1 + 2 * row_number() over (order by type), 'B-' || type from (select distinct type from canon_term)
         union all select 2 + 2 * row_number() over (order by type), 'I-' || type from (select distinct type from canon_term)) select cast(row_number() over (order by o) - 1 as int) as pos, label from l""",
+    "C11_lemmatized": f"""with {DOCS} select id, array_to_string(list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s\\x0B\\p{{Z}}]'),
+        lambda x: case when x = 'навыки' then 'навык' else x end), ' ') as lemmas from docs""",
+    "T9_T10_T11_split_words": r"""with w as (select id, value, length(value) - length(replace(value, ',', '')) as commas, string_split(value, ',') as segs, string_split(value, '/') as parts from keyword),
+        c as (select *, len(list_filter(segs, lambda s: regexp_full_match(s, '[ \t\n\r\x0B\f]'))) as blank,
+            len(list_filter(segs, lambda s: not regexp_full_match(s, '[ \t\n\r\x0B\f]') and not regexp_matches(s, '[а-яА-Я]'))) as english,
+            2 * commas + 1 + length(value) - length(replace(value, ' ', '')) as words from w)
+        select id, regexp_replace(value, '([;\n])', '|\1|', 'g') as semicolon,
+            case when commas > 0 and (commas > 6 or english * 2.5 >= commas + 1 - blank or words <= (commas + 1 - blank) * 2.5) then replace(value, ',', '|,|') end as comma,
+            case when len(parts) > 1 and len(list_filter(parts, lambda s: regexp_full_match(s, '\p{N}+'))) = 0 and len(list_filter(parts, lambda s: not regexp_matches(s, '[а-яА-Я]'))) > 0 then replace(value, '/', '|/|') end as slash
+        from c""",
+    "T20_T21_cast_texts": f"""with {DATA} select id, replace(replace(replace(replace(text, 'С ++', 'C++ '), 'C ++', 'c++ '), 'С' || chr(10) || '++', 'С++ '), 'C' || chr(10) || '++', 'С++ ') as text from data where text is not null""",
+    "G3_G4_J8_merged": f"""with {DATA}, {SPANS}, {_STATUS} select distinct s.id, {_SPAN_COLS} from spans s where text is not null and e."start" < e."end" and (e."class" in ('Technology', 'ProgLanguage')
+        or exists (select 1 from st where st.id = s.id and st.value = s.value and st.status in ('confirmed', 'rejected', 'added')))""",
+    "G3_merged_status": f"""with {DATA}, {SPANS}, {_STATUS} select distinct s.id, s.value, case st.status when 'rejected' then 'rejected' else 'confirmed' end as status
+        from spans s join st on st.id = s.id and st.value = s.value where e."class" in ('Technology', 'ProgLanguage') and st.status in ('confirmed', 'rejected', 'added')""",
     "G5_J7_rejected_missing": f"""with {DATA}, {SPANS}, {_STATUS}, u as (select id, value from spans where e."class" in ('Technology', 'ProgLanguage'))
         select id, {_SPAN_COLS} from spans s where text is not null and (e."class" in ('Technology', 'ProgLanguage') or (not exists (select 1 from u where u.id = s.id and u.value = s.value)
             and exists (select 1 from st where st.id = s.id and st.value = s.value and st.status in ('rejected', 'extracted', 'confirmed'))))""",

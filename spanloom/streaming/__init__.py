@@ -1 +1 @@
-
+"""Streams of changed documents."""
