@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import documents, store
 from spanloom.plans import fuzzy, tfidf
 from spanloom.plans.components import components
-from spanloom.queries.common import docs
+from spanloom.queries.common import DOCS, docs
 from spanloom.session import table
 
 
@@ -132,6 +132,8 @@ ORACLE = {
     "dupes_tfidf": _dupes_sql(_DOCS, False) + "select id, cluster, root_id from out",
     "D3_dupes_by_type": _dupes_sql("select object_type part, doc_id id, text from documents", True) + "select part as object_type, id, cluster, root_id from out",
     "D4_M5_dupes_marked": _dupes_sql(_DOCS, False) + "select d.doc_id as id, case when o.root_id <> o.id then o.root_id end as root_id from documents d left join out o on o.id = d.doc_id",
+    "D4_S7_mark_dupes_of_type": _dupes_sql(f"with {DOCS} select id, text from docs where object_type = 'vacancy'", False)
+    + f"select d.id, d.object_type, case when d.object_type is distinct from 'vacancy' then d.root_id when o.root_id <> o.id then o.root_id end as root_id from (with {DOCS} select * from docs) d left join out o on o.id = d.id",
     "D2_J14_similar_pairs": _dupes_sql(_DOCS, False) + """, cls as (select id, min(id) over (partition by list_sort(regexp_extract_all(lower(coalesce(text,'')), '[\\p{L}\\p{N}_]{2,}'))) as c from src)
         select distinct least(p.c, q.c) as class_a, greatest(p.c, q.c) as class_b from pairs join cls p on p.id = a join cls q on q.id = b where p.c <> q.c""",
     "D1_term_weights": """with tf as (select doc_id id, w, count(*) c from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text,'')), '[\\p{L}\\p{N}_]{2,}')) w from documents) group by all),

@@ -324,12 +324,48 @@ _CORPUS = "src as (select doc_id as id, text from documents)"
 _FIX = "text"
 for _p, _b in ((r"\n", " "), (r"\.+", "."), (r"\t", " "), (" +", " "), (r" \.", "."), (r"\.+ ", ". ")):
     _FIX = f"regexp_replace({_FIX}, '{_p}', '{_b}', 'g')"
+
+
+def _strip_characters_sql(sql: str) -> str:
+    """The same steps; a look-behind becomes two passes over line breaks."""
+    for pattern, by in ((r"[0-9]+\.", ""), (r"[а-яА-Я]\)", ""), ("- ", " "), (r"\A-", ""), (r"[;.–·](\n?)\z", r"\1"), (r"[^\p{L}\p{N}\n \-,()/\\!?;.]", "")):
+        sql = f"regexp_replace({sql}, '{pattern}', '{by}', 'g')"
+    for _ in range(2):
+        sql = f"regexp_replace({sql}, '([^.])\\n', '\\1.' || chr(10), 'g')"
+    return sql
+
+
+_BLANK = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+
+
+def _sentences_sql(source: str) -> str:
+    """Rows out (id, pos, offset, text): the sentences of source (id, text)."""
+    before = "coalesce(sum(length({0})) over (partition by {1} rows between unbounded preceding and 1 preceding), 0)"
+    return rf"""p1 as (select id, string_split(regexp_replace(text, '(\.[ \n]|\n{{3,}}|!\?)', chr(1) || '\1' || chr(1), 'g'), chr(1)) as ps from ({source}) where text is not null),
+p2 as (select id, unnest(ps) as s, generate_subscripts(ps, 1) as i from p1),
+p3 as (select id, i, s, {before.format("s", "id order by i")} as off from p2),
+p4 as (select id, i, off, string_split(regexp_replace(regexp_replace(s, '\n{_BLANK}*\z', ''), '(?m)^([А-Я][^\n]*:[^\S\n]*)$', chr(2) || '\1', 'g'), chr(2)) as hs
+    from p3 where not regexp_full_match(s, '({_BLANK}|\.)*')),
+p5 as (select id, i, off, unnest(hs) as s, generate_subscripts(hs, 1) as j from p4),
+p6 as (select id, i, j, off + {before.format("s", "id, i order by j")} as off, s from p5),
+p7 as (select id, i, j, off, s, string_split(s, chr(10)) as ls from p6 where not regexp_full_match(s, '{_BLANK}*')),
+p8 as (select id, i, j, off, s, unnest(ls) as l, generate_subscripts(ls, 1) as k from p7),
+p9 as (select id, i, j, off, s, l, off + coalesce(sum(length(l) + 1) over (partition by id, i, j order by k rows between unbounded preceding and 1 preceding), 0) as spot,
+    avg(length(l)) filter (not regexp_full_match(l, '{_BLANK}*')) over (partition by id, i, j) as mean from p8),
+flat as (select distinct id, off as "offset", s as text from p9 where mean <= 55 union all select id, spot, l from p9 where mean > 55 and not regexp_full_match(l, '{_BLANK}*')),
+out as (select id, cast(row_number() over (partition by id order by "offset") - 1 as int) as pos, cast("offset" as int) as "offset", text from flat)"""
+
+
 _SPAN_COLS = 'e."start" as "start", e."end" as "end", e."class" as "class"'
 _STATUS = f"st as (select id, {strip_sql('lower(s.key)')} as value, s.value as status from (select id, unnest(map_entries(status)) as s from data where text is not null))"
 
 ORACLE = {
     "C1_fixed_keywords": f"select id, {strip_sql('lower(value)')} as value from keyword",
     "C6_fixed_text": f"with {_CORPUS} select id, {_FIX} as text from src",
+    "C4_stripped_characters": f"with {_CORPUS} select id, {_strip_characters_sql('text')} as text from src",
+    "C3_normalized": f"with {_CORPUS} select id, {_FIX.replace('(text,', '(' + _strip_characters_sql('lower(' + strip_sql('text') + ')') + ',', 1)} as norm from src",
+    "T1_T2_T3_W3_sentences": f"with {_CORPUS}, {_sentences_sql('select * from src')} select id, pos, \"offset\", text from out",
+    "T5_joined_sentences": f"with {DATA}, {_sentences_sql('select id, text from data')} select d.id, case when d.text is not null then coalesce(string_agg(o.text, '. ' order by o.pos), '') end as text from data d left join out o using (id) group by d.id, d.text",
     "C14_T12_script_of_words": r"select id, not regexp_matches(value, '[а-яА-Я]') as english, regexp_full_match(value, '\p{P}*') as marks, regexp_full_match(value, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+') as blank from keyword",
     "A10_line_lengths": rf"""with {_CORPUS}, lines as (select id, unnest(string_split(text, chr(10))) as l from src)
         select s.id, round(avg(length(l)) filter (not regexp_full_match(l, '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]*')), 6) as mean_length from src s left join lines using (id) group by s.id""",
