@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.functions.text import let
 from spanloom.plans.components import components
 from spanloom.session import stage
 
@@ -36,9 +37,9 @@ def similar_classes(docs: DataFrame, part: list[str] = (), eps: float = EPS) ->
     part = list(part)
     least = 1 - eps * eps / 2
     # A text's terms as one hash of its sorted words: equal words, equal vector.
-    keyed = docs.where(F.col("id").isNotNull()).select(
-        *part, "id", "text", F.xxhash64(F.array_join(F.array_sort(terms(F.col("text"))), " ")).alias("h1"), F.md5(F.array_join(F.array_sort(terms(F.col("text"))), " ")).alias("h2")
-    )
+    words = F.array_join(F.array_sort(terms(F.col("text"))), " ")
+    hashes = let(words, lambda w: F.struct(F.xxhash64(w).alias("h1"), F.md5(w).alias("h2")))
+    keyed = docs.where(F.col("id").isNotNull()).select(*part, "id", hashes.alias("h")).select(*part, "id", "h.h1", "h.h2")
     classes = keyed.groupBy(*part, "h1", "h2").agg(F.min("id").alias("class"), F.count("*").alias("members"))
     members = stage(keyed.select(*part, "id", "h1", "h2").join(classes, [*part, "h1", "h2"]).select(*part, "id", "class", "members").distinct(), "members")
     reps = members.where("id = class").select(*part, F.col("class").alias("id"), "members").distinct()

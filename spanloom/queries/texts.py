@@ -338,13 +338,16 @@ def _strip_characters_sql(sql: str) -> str:
 _BLANK = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
 
-def _sentences_sql(source: str) -> str:
-    """Rows out (id, pos, offset, text): the sentences of source (id, text)."""
+def _sentences_sql(source: str, spans: bool = False) -> str:
+    """Rows out (id, pos, offset, text): the sentences of source (id, text); with ``spans`` of (id, text, entities), whose last start may cut the last line."""
+    last = "regexp_replace(s, '\\n" + _BLANK + "*\\z', '')"
+    if spans:
+        last = rf"case when i = max(i) over (partition by id) and lst > length({last}) - length(regexp_extract({last}, '[^\n]*\z')) then regexp_replace({last}, '([^\n]*)\z', chr(2) || '\1') else {last} end"
     before = "coalesce(sum(length({0})) over (partition by {1} rows between unbounded preceding and 1 preceding), 0)"
-    return rf"""p1 as (select id, string_split(regexp_replace(text, '(\.[ \n]|\n{{3,}}|!\?)', chr(1) || '\1' || chr(1), 'g'), chr(1)) as ps from ({source}) where text is not null),
-p2 as (select id, unnest(ps) as s, generate_subscripts(ps, 1) as i from p1),
-p3 as (select id, i, s, {before.format("s", "id order by i")} as off from p2),
-p4 as (select id, i, off, string_split(regexp_replace(regexp_replace(s, '\n{_BLANK}*\z', ''), '(?m)^([А-Я][^\n]*:[^\S\n]*)$', chr(2) || '\1', 'g'), chr(2)) as hs
+    return rf"""p1 as (select id, {'entities[len(entities)]."start"' if spans else 'null'} as lst, string_split(regexp_replace(text, '(\.[ \n]|\n{{3,}}|!\?)', chr(1) || '\1' || chr(1), 'g'), chr(1)) as ps from ({source}) where text is not null),
+p2 as (select id, lst, unnest(ps) as s, generate_subscripts(ps, 1) as i from p1),
+p3 as (select id, lst, i, s, {before.format("s", "id order by i")} as off from p2),
+p4 as (select id, i, off, string_split(regexp_replace({last}, '(?m)^([А-Я][^\n]*:[^\S\n]*)$', chr(2) || '\1', 'g'), chr(2)) as hs
     from p3 where not regexp_full_match(s, '({_BLANK}|\.)*')),
 p5 as (select id, i, off, unnest(hs) as s, generate_subscripts(hs, 1) as j from p4),
 p6 as (select id, i, j, off + {before.format("s", "id, i order by j")} as off, s from p5),
@@ -356,6 +359,25 @@ flat as (select distinct id, off as "offset", s as text from p9 where mean <= 55
 out as (select id, cast(row_number() over (partition by id order by "offset") - 1 as int) as pos, cast("offset" as int) as "offset", text from flat)"""
 
 
+#: Spans with the sentence they belong to: att (id, k, e, pos).
+_ATTACHED = """sp as (select id, unnest(entities) as e, generate_subscripts(entities, 1) as k from data where text is not null),
+own as (select sp.id, k, any_value(e) as e, count(o.pos) filter (o."offset" + length(o.text) <= e."start") as place from sp left join out o on o.id = sp.id group by sp.id, k, e."start"),
+att as (select id, k, e, max(place) over (partition by id order by k) as pos from own)"""
+
+#: Token rows of the sentences with spans: tagged (id, sentence, pos, word, at, label).
+_TAGGED = r"""kept as (select o.*, row_number() over (partition by o.id order by o.pos) - 1 as sentence from out o where exists (select 1 from att a where a.id = o.id and a.pos = o.pos)),
+cutup as (select id, pos as sent, sentence, "offset" as base, string_split(regexp_replace(text, '([\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\x0B\p{Z}])', chr(1) || '\1' || chr(1), 'g'), chr(1)) as ps from kept),
+bits as (select id, sent, sentence, base, unnest(ps) as w, generate_subscripts(ps, 1) as i from cutup),
+tok as (select id, sent, sentence, i // 2 - 1 as pos, w as word, base + at as at from (select *, coalesce(sum(length(w)) over (partition by id, sent order by i rows between unbounded preceding and 1 preceding), 0) as at from bits) where i % 2 = 0),
+hit as (select t.id, t.sent, t.pos, arg_min(a.e, a.k) as e from tok t join att a on a.id = t.id and a.pos = t.sent and a.e."end" >= t.at group by t.id, t.sent, t.pos),
+tagged as (select t.id, t.sentence, t.pos, t.word, t.at, case when h.e."start" <= t.at and t.at < h.e."end" then (case when h.e."start" = t.at then 'B-' else 'I-' end) || h.e."class" else 'O' end as label
+    from tok t left join hit h on h.id = t.id and h.sent = t.sent and h.pos = t.pos)""".replace(" as at", " as spot").replace(".at", ".spot").replace("+ at ", "+ spot ")
+
+_DECODED = """marks as (select *, case when label <> 'O' then substring(label, 3) end as kind from tagged),
+runs as (select *, lag(kind) over (partition by id, sentence order by pos) as prior from marks),
+isles as (select *, sum(case when kind is not null and (label[1] = 'B' or kind is distinct from prior) then 1 else 0 end) over (partition by id, sentence order by pos) as isle from runs)
+select id, cast(sentence as int) as sentence, cast(min(spot) as int) as "start", cast(max(spot + length(word)) as int) as "end", kind as "class" from isles where kind is not null group by id, sentence, isle, kind"""
+
 _SPAN_COLS = 'e."start" as "start", e."end" as "end", e."class" as "class"'
 _STATUS = f"st as (select id, {strip_sql('lower(s.key)')} as value, s.value as status from (select id, unnest(map_entries(status)) as s from data where text is not null))"
 
@@ -365,6 +387,16 @@ ORACLE = {
     "C4_stripped_characters": f"with {_CORPUS} select id, {_strip_characters_sql('text')} as text from src",
     "C3_normalized": f"with {_CORPUS} select id, {_FIX.replace('(text,', '(' + _strip_characters_sql('lower(' + strip_sql('text') + ')') + ',', 1)} as norm from src",
     "T1_T2_T3_W3_sentences": f"with {_CORPUS}, {_sentences_sql('select * from src')} select id, pos, \"offset\", text from out",
+    "T4_J11_attached": f"with {DATA}, {_sentences_sql('select id, text, entities from data', True)}, {_ATTACHED} select o.id, o.pos, o.\"offset\", o.text, cast(count(a.k) as int) as n_spans from out o left join att a on a.id = o.id and a.pos = o.pos group by all",
+    "T6_T17_T18_token_frame": f"with {DATA}, {_sentences_sql('select id, text, entities from data', True)}, {_ATTACHED}, {_TAGGED} select id, cast(sentence as int) as sentence, cast(pos as int) as pos, word, label from tagged",
+    "T14_decoded": f"with {DATA}, {_sentences_sql('select id, text, entities from data', True)}, {_ATTACHED}, {_TAGGED}, {_DECODED}",
+    "T14_W2_decoded_by_windows": f"with {DATA}, {_sentences_sql('select id, text, entities from data', True)}, {_ATTACHED}, {_TAGGED}, {_DECODED}",
+    "A11_U5_evaluation": f"""with {DATA}, {_sentences_sql('select id, text, entities from data', True)}, {_ATTACHED}, {_TAGGED},
+        t as (select string_split(id, '-')[1] as kind, lower(word) as w, label from tagged),
+        best as (select w, label as guess from (select *, row_number() over (partition by w order by n desc, label) as k from (select w, label, count(*) as n from t group by all)) where k = 1),
+        c as (select kind, count(*) filter (label = guess and label <> 'O') as hits, count(*) filter (guess <> 'O') as guessed, count(*) filter (label <> 'O') as truth, count(*) as n from t join best using (w) group by kind)
+        select kind, round(hits / nullif(guessed, 0)::double, 6) as precision, round(hits / nullif(truth, 0)::double, 6) as recall,
+            round(2 * (hits / guessed::double) * (hits / truth::double) / nullif((hits / guessed::double) + (hits / truth::double), 0), 6) as f1, n from c""",
     "T5_joined_sentences": f"with {DATA}, {_sentences_sql('select id, text from data')} select d.id, case when d.text is not null then coalesce(string_agg(o.text, '. ' order by o.pos), '') end as text from data d left join out o using (id) group by d.id, d.text",
     "C14_T12_script_of_words": r"select id, not regexp_matches(value, '[а-яА-Я]') as english, regexp_full_match(value, '\p{P}*') as marks, regexp_full_match(value, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+') as blank from keyword",
     "A10_line_lengths": rf"""with {_CORPUS}, lines as (select id, unnest(string_split(text, chr(10))) as l from src)
