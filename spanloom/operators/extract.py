@@ -69,18 +69,28 @@ def _as_extracted(found: DataFrame) -> DataFrame:
     return found.withColumn("status", F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(EXTRACTED).alias("value")))))
 
 
-def extract_by_dictionary(texts: DataFrame, keywords: DataFrame, max_words: int = 4) -> DataFrame:
-    """(id, text, entities, status) for (id, text): known keywords of up to ``max_words`` tokens, longest first, without overlap.
+def _run_lengths(keywords: DataFrame) -> DataFrame:
+    """One row (lengths): the numbers of tokens that a run equal to some keyword can have."""
+    n = lambda v: F.size(spans.tokens_of(F.struct(F.lit(0).alias("offset"), v.alias("text"))))
+    # Lower case makes two tokens of the one letter İ; such a value may stand for a run of fewer tokens.
+    whole = F.regexp_replace("value", "i\u0307", "İ")
+    sizes = keywords.where(F.col("value").isNotNull()).select(F.explode(F.sequence(n(whole), n(F.col("value")))).alias("n"))
+    return sizes.where("n > 0").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
 
-    Runs of tokens meet the keyword table in an equi-join on the exact stored value, so the work grows with the texts, not with
-    texts times keywords.
+
+def extract_by_dictionary(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(id, text, entities, status) for (id, text): known keywords of any number of tokens, longest first, without overlap.
+
+    Runs of as many tokens as some keyword has meet the keyword table in an equi-join on the exact stored value, so the work grows
+    with the texts, not with texts times keywords; one very long keyword adds one run per token.
     """
     tok = texts.select("id", "text", F.posexplode(tokenized(F.col("text"))).alias("sent", "tok")).where(F.size("tok") > 0)
+    tok = tok.crossJoin(F.broadcast(_run_lengths(keywords)))
     runs = F.flatten(
         F.transform(
             F.col("tok"),
             lambda t, i: F.transform(
-                F.sequence(i, F.least(i + max_words, F.size("tok")) - 1),
+                F.transform(F.filter("lengths", lambda n: i + n <= F.size("tok")), lambda n: i + n - 1),
                 lambda j: F.struct(t["offset"].alias("start"), (F.get("tok", j)["offset"] + F.length(F.get("tok", j)["token"])).alias("end")),
             ),
         )

@@ -159,3 +159,14 @@ def test_majority_tags_and_evaluation(spark):
     best = training.majority_tags(tok).withColumnRenamed("label", "guess")
     r = training.evaluate(tok.join(best, "word")).collect()[0]
     assert (r["precision"], r["recall"], r["n"]) == (0.666667, 1.0, 4)
+
+
+def test_keywords_of_any_length_are_found(spark):
+    long = "level one, two, three, four, five, six"
+    words = ["go", "saroltmur v11 - 7 years", long, "four", "zi\u0307s a b c d"]
+    kw = spark.createDataFrame([(i, w, "T") for i, w in enumerate(words)] + [(9, None, "T"), (10, "", "T")], "id long, value string, type string")
+    texts = ["x Go y Saroltmur v11 - 7 years z", f"see {long.upper()} go", "four five", "zİs a b c d", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: [r["text"][e["start"] : e["end"]] for e in r["entities"]] for r in extract.extract_by_dictionary(df, kw).collect()}
+    assert got == {0: ["Go", "Saroltmur v11 - 7 years"], 1: [long.upper(), "go"], 2: ["four"], 3: ["zİs a b c d"], 4: []}
+    assert all(r["entities"] == [] for r in extract.extract_by_dictionary(df, kw.limit(0)).collect())
