@@ -70,6 +70,25 @@ def exact_clusters(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.clusters(exact_canonical(spark, d)).select("canonical", F.array_join("members", ",").alias("members"))
 
 
+def _long_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).select(F.col("id").alias("idx"), "text")
+
+
+def fuzzy_document_edges(spark: SparkSession, d: str) -> DataFrame:
+    """D5, J15 on whole documents, with the cut-off and length of the reference."""
+    return fuzzy.edges(_long_texts(spark, d), fuzzy.CUTOFF, fuzzy.MIN_LENGTH)
+
+
+def fuzzy_document_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """D5, D6 on whole documents: exact repeats and close matches."""
+    return fuzzy.canonical(_long_texts(spark, d), fuzzy.CUTOFF, fuzzy.MIN_LENGTH)
+
+
+def fuzzy_document_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """D7, A13 on whole documents."""
+    return fuzzy.clusters(fuzzy_document_canonical(spark, d)).select("canonical", F.array_join("members", ",").alias("members"))
+
+
 def fuzzy_canonical(spark: SparkSession, d: str) -> DataFrame:
     """D5, D6, J15 on typed keywords in order of id."""
     kw = table(spark, d, "keyword").select(F.col("id").alias("idx"), F.col("value").alias("text"))
@@ -96,6 +115,9 @@ QUERIES = {
     "D2_J14_similar_pairs": similar_pairs,
     "D5_D6_exact_canonical": exact_canonical,
     "D7_A13_exact_clusters": exact_clusters,
+    "D5_J15_fuzzy_document_edges": fuzzy_document_edges,
+    "D6_fuzzy_document_canonical": fuzzy_document_canonical,
+    "D7_A13_fuzzy_document_clusters": fuzzy_document_clusters,
     "D5_J15_fuzzy_edges": fuzzy_edges,
     "D6_fuzzy_canonical": fuzzy_canonical,
     "D3_link_components": link_components,

@@ -71,3 +71,52 @@ def test_heavy_keys_take_another_way(spark):
     got = lookup_join(rows, look, "k")
     assert got.count() == 3001 and got.where("v = 2").count() == 2000 and got.where("v is null").count() == 2
     assert "Broadcast" in got._jdf.queryExecution().toString()
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_close_documents_equal_brute_force(spark, tmp_path):
+    from spanloom.queries import QUERIES
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("абвгдежзиклмнопрст") for _ in range(rng.randint(3, 9)))
+    base = [" ".join(word() for _ in range(rng.randint(25, 40))) for _ in range(12)]
+
+    def edited(t, n):
+        t = list(t)
+        for _ in range(n):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice([[], [t[k], "ю"], ["э"]])
+        return "".join(t)
+
+    texts = base + [edited(rng.choice(base), n) for n in (1, 2, 4, 6, 8, 10, 12, 20, 30) for _ in range(3)] + [base[3], "коротко", "коротка", "коротко", None]
+    spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "doc_id long, object_type string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        if t is None:
+            continue
+        if t in first:
+            want[i] = first[t]
+            continue
+        if len(t) >= 100:
+            scores = {j: 1 - _distance(t, u) / max(len(t), len(u)) for u, j in first.items() if len(u) >= 100}
+            best = max(scores.values(), default=0)
+            if best >= 0.95:
+                want[i] = min(j for j, s in scores.items() if s == best)
+        first[t] = i
+    assert len(want) > 15
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["idx"]: r["canonical"] for r in run("D6_fuzzy_document_canonical")} == want
+    groups = {}
+    for i, c in sorted(want.items()):
+        groups.setdefault(c, []).append(i)
+    assert {r["canonical"]: r["members"] for r in run("D7_A13_fuzzy_document_clusters")} == {c: ",".join(map(str, [*m, c])) for c, m in groups.items()}
+    repeats = {i for i, t in enumerate(texts) if t in texts[:i]}
+    assert {r["a"] for r in run("D5_J15_fuzzy_document_edges")} == set(want) - repeats
