@@ -12,8 +12,9 @@ more. That lies between one word in six changed (0.833) and more than a quarter
 
 Texts of equal words form a class with one fingerprint. Within a task only the first of them has band keys, so
 a group of copies, however large, puts at most one row per task into a bucket. A large group of near copies crowds its
-buckets: there each class meets the first of the bucket, and only classes that seem new afterwards meet the others, until
-nothing changes. Of several repeated documents the most similar of those met is then named.
+buckets: there each class first meets the first of the bucket, and classes that seem new afterwards meet the others, until
+nothing changes. That settles the verdicts; the classes that repeat then meet the history and all accepted classes of their buckets, so the
+most similar document is named there as elsewhere.
 
 Cases: a null text, an empty one or one of fewer than ``LEAST_WORDS`` words has no content: it
 repeats nothing and is not repeated. A batch row whose id came in an earlier batch (or is
@@ -299,14 +300,19 @@ class HistoryIndex:
         if crowds.isEmpty():
             crowds = None
         near = stage(verify(meet(new, old, crowds), _both(new, old)), "similar")
+        later = leaders.where(~F.col("known")).select(F.col("fp").alias("other"), F.col("place").alias("place_other"))
+
+        def links_of(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """Pairs with the history, and pairs with earlier classes of the batch."""
+            past = stage(near.join(known.withColumnRenamed("fp", "other"), "other").select("fp", "other", "kept", "low", "high"), "past")
+            return past, stage(near.join(leaders, "fp").join(later, "other").where("place_other < place").select("fp", "other", "kept"), "inner")
+
         seen = None
         while True:
             # Similar classes of the history decide at once; between classes of the batch the earlier one counts.
-            past = stage(near.join(known.withColumnRenamed("fp", "other"), "other").select("fp", "other", "kept", "low", "high"), "past")
+            past, inner = links_of(near)
             settled = leaders.join(past.select("fp").distinct().withColumn("near", F.lit(True)), "fp", "left")
             settled = settled.select("fp", "place", (F.col("known") | F.coalesce("near", F.lit(False))).alias("known"))
-            later = leaders.where(~F.col("known")).select(F.col("fp").alias("other"), F.col("place").alias("place_other"))
-            inner = stage(near.join(leaders, "fp").join(later, "other").where("place_other < place").select("fp", "other", "kept"), "inner")
             decided = resolve(settled, inner.select("fp", F.col("other").alias("earlier")))
             accepted = decided.where("accepted").select("fp")
             if crowds is None:
@@ -326,6 +332,15 @@ class HistoryIndex:
             turned = found.select(F.col("other").alias("fp"), F.col("fp").alias("other"), "kept").join(leaders.select("fp"), "fp", "left_semi")
             near = stage(near.unionByName(found).unionByName(turned).distinct(), "similar")
 
+        if crowds is not None:
+            # The classes that repeat have met only the first of a crowded bucket: now all they could repeat. An accepted class is in
+            # ``seen``, so no verdict changes; only the partner named does.
+            rest = inside if seen is None else inside.join(seen, "fp", "left_anti")
+            could = _both(new, old).select("fp", "n", "words", "sketch", "bands", F.col("place.id").alias("id")).join(known.select("fp").unionByName(accepted).distinct(), "fp", "left_semi")
+            more = meet(new.join(stage(rest, "rest"), "fp", "left_semi"), could, crowds, full=True)
+            near = stage(near.unionByName(verify(more, _both(new, old))).distinct(), "similar")
+            past, inner = links_of(near)
+
         # What each class repeats: its own text in the history or in the batch, a similar one in the history, a similar one accepted from the batch.
         at = leaders.select("fp", F.col("place.id").alias("leader"))
         links = (

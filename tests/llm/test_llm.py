@@ -144,6 +144,31 @@ def test_a_large_group_of_near_copies(spark):
     assert got == {1000 + k: 1000 for k in range(1, 300)}
 
 
+def test_the_partner_in_a_crowded_bucket_is_the_most_similar(spark):
+    rng = random.Random(9)
+    base = _text(rng, 60).split()
+
+    def vary(words, n):
+        out = list(words)
+        for k in rng.sample(range(60), n):
+            out[k] = f"иное{rng.randrange(10**6)}"
+        return out
+
+    # Variants near the first of the family, all accepted; each text of the batch is nearest to one of them.
+    family = [base] + [vary(base, 5) for _ in range(12)]
+    hist = [(i, " ".join(w)) for i, w in enumerate(family)]
+    batch = [(1 + k % 3, 1000 + k, " ".join(vary(family[k % 13], 1))) for k in range(60)]
+    # Accepted variants of the batch itself count too.
+    other = _text(rng, 60).split()
+    apart = [other, vary(other, 14), vary(other, 14)]
+    batch += [(1, 2000 + k, " ".join(w)) for k, w in enumerate(apart)] + [(2, 3000 + k, " ".join(vary(apart[k % 3], 2))) for k in range(30)]
+    index = history.HistoryIndex(spark, crowd=8)
+    index.add_documents(spark.createDataFrame(hist, "id long, text string"))
+    got = {r["id"]: r["repeats"] for r in index.probe(spark.createDataFrame(batch, "batch_no int, id long, text string")).collect()}
+    want = _accepted_brute(hist, batch)
+    assert got == want and len(set(want.values())) >= 15
+
+
 def test_band_keys_find_texts_with_one_word_in_six_changed():
     rng = random.Random(3)
     texts = []
