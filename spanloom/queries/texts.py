@@ -199,18 +199,54 @@ def with_majority(spark, d):
     return _spans(entities.with_majority_class(data(spark, d)))
 
 
+def _language_names(spark, d):
+    return [r[0] for r in table(spark, d, "canon_term").where("type = 'ProgLanguage'").select(F.lower("name")).distinct().collect()]
+
+
 def overridden(spark, d):
-    names = [r[0] for r in table(spark, d, "canon_term").where("type = 'ProgLanguage'").select(F.lower("name")).distinct().collect()]
-    listed = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    listed = F.array(*[F.lit(n) for n in _language_names(spark, d)]).cast("array<string>")
     return _spans(data(spark, d).where(_text().isNotNull()).withColumn("entities", spans.override_class(_text(), spans.spans_or_none(F.col("entities")), listed, "ProgLanguage")))
 
 
+#: Inflected forms of the words that say nothing at the start of a skill, by lemma.
+_FORMS = {
+    "знание": "знания знанию знанием знании знаний знаниям знаниями знаниях",
+    "владеть": "владею владеешь владеет владеем владеете владеют владел владела владело владели владей владейте владея владеющий владеющая владеющее владеющие "
+    "владеющего владеющей владеющих владеющему владеющим владеющую владеющем владеющими",
+    "знать": "знаю знаешь знает знаем знаете знают знал знала знало знали знай знайте зная знающий знающая знающее знающие знающего знающей знающих знающему "
+    "знающим знающую знающем знающими",
+    "хороший": "хорошая хорошее хорошие хорошего хорошей хороших хорошему хорошим хорошую хорошем хорошими хорошею",
+    "отличный": "отличная отличное отличные отличного отличной отличных отличному отличным отличную отличном отличными отличною",
+    "прекрасный": "прекрасная прекрасное прекрасные прекрасного прекрасной прекрасных прекрасному прекрасным прекрасную прекрасном прекрасными прекрасною",
+    "умение": "умения умению умением умении умений умениям умениями умениях",
+    "понимание": "понимания пониманию пониманием понимании пониманий пониманиям пониманиями пониманиях",
+    "принцип": "принципа принципу принципом принципе принципы принципов принципам принципами принципах",
+    "опыт": "опыта опыту опытом опыте опыты опытов опытам опытами опытах",
+    "работа": "работы работе работу работой работою работ работам работами работах",
+    "уметь": "умею умеешь умеет умеем умеете умеют умел умела умело умели умей умейте умея умеющий умеющая умеющее умеющие умеющего умеющей умеющих умеющему "
+    "умеющим умеющую умеющем умеющими",
+    "навык": "навыка навыку навыком навыке навыки навыков навыкам навыками навыках",
+    "готовность": "готовности готовностью готовностей готовностям готовностями готовностях",
+    "уверенный": "уверенная уверенное уверенные уверенного уверенной уверенных уверенному уверенным уверенную уверенном уверенными уверенною",
+    "роль": "роли ролью ролей ролям ролями ролях",
+    "знакомство": "знакомства знакомству знакомством знакомстве знакомств знакомствам знакомствами знакомствах",
+    "желание": "желания желанию желанием желании желаний желаниям желаниями желаниях",
+    "базовый": "базовая базовое базовые базового базовой базовых базовому базовым базовую базовом базовыми базовою",
+    "использование": "использования использованию использованием использовании использований использованиям использованиями использованиях",
+}
+_LEMMAS = {form: lemma for lemma, forms in _FORMS.items() for form in forms.split()}
+
+
+def _prepared(spark, d):
+    return entities.preprocess(data(spark, d), _language_names(spark, d), _LEMMAS)
+
+
 def preprocessed(spark, d):
-    return entities.preprocess(data(spark, d)).select("id", "text", F.size("entities").alias("n_spans"))
+    return _prepared(spark, d).select("id", "text", F.size("entities").alias("n_spans"))
 
 
 def preprocessed_spans(spark, d):
-    return _spans(entities.preprocess(data(spark, d)))
+    return _spans(_prepared(spark, d))
 
 
 def split_spans(spark, d):

@@ -170,3 +170,17 @@ def test_keywords_of_any_length_are_found(spark):
     got = {r["id"]: [r["text"][e["start"] : e["end"]] for e in r["entities"]] for r in extract.extract_by_dictionary(df, kw).collect()}
     assert got == {0: ["Go", "Saroltmur v11 - 7 years"], 1: [long.upper(), "go"], 2: ["four"], 3: ["zİs a b c d"], 4: []}
     assert all(r["entities"] == [] for r in extract.extract_by_dictionary(df, kw.limit(0)).collect())
+
+
+def test_prepared_spans_use_the_dictionary_and_lemmas(spark, tmp_path):
+    from spanloom.queries import QUERIES
+
+    text = "Знаю Elixir. Опытом работы с базами данных"
+    at = text.index("Elixir"), text.index("Опытом")
+    rows = [("a-1", text, [(at[0], at[0] + 6, "Technology"), (at[1], len(text), "Subject")], {})]
+    schema = "id string, text string, entities array<struct<start:int,end:int,class:string>>, status map<string,string>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/datum.parquet")
+    spark.createDataFrame([(1, "Elixir", "ProgLanguage"), (2, "SQL", "Technology")], "canon_id long, name string, type string").write.parquet(f"{tmp_path}/canon_term.parquet")
+    got = QUERIES["T28_preprocessed_spans"](spark, str(tmp_path)).collect()
+    out = QUERIES["T28_preprocessed"](spark, str(tmp_path)).collect()[0]
+    assert sorted((out["text"][r["start"] : r["end"]], r["class"]) for r in got) == [("Elixir", "ProgLanguage"), ("базами данных", "Subject")]
