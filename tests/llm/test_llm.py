@@ -169,6 +169,19 @@ def test_the_partner_in_a_crowded_bucket_is_the_most_similar(spark):
     assert got == want and len(set(want.values())) >= 15
 
 
+def test_the_partner_among_variants_that_share_all_buckets(spark):
+    rng = random.Random(10)
+    base = _text(rng, 1000).split()
+    put = lambda w, k: w[:k] + [f"иное{k}"] + w[k + 1 :]
+    family = [base] + [put(base, k) for k in range(0, 240, 20)]
+    hist = [(i, " ".join(w)) for i, w in enumerate(family)]
+    batch = [(1, 1000 + k, " ".join(put(family[k % 13], 500 + k))) for k in range(26)]
+    index = history.HistoryIndex(spark, crowd=1)
+    index.add_documents(spark.createDataFrame(hist, "id long, text string"))
+    got = {r["id"]: r["repeats"] for r in index.probe(spark.createDataFrame(batch, "batch_no int, id long, text string")).collect()}
+    assert got == {1000 + k: k % 13 for k in range(26)}
+
+
 def test_band_keys_find_texts_with_one_word_in_six_changed():
     rng = random.Random(3)
     texts = []
