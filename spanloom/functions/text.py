@@ -84,6 +84,7 @@ def is_punctuation(c: Column) -> Column:
 
 def fix_text(c: Column) -> Column:
     """One line with single blanks and single points, no blank before a point."""
+    # What is replaced, in this order, and by what.
     steps = [("\n", " "), (r"\.+", "."), ("\t", " "), (" +", " "), (r" \.", "."), (r"\.+ ", ". ")]
     for pattern, by in steps:
         c = F.regexp_replace(c, pattern, by)
@@ -95,8 +96,8 @@ def strip_characters(c: Column) -> Column:
 
     A line break gets a point before it unless the text before ends in one or is empty.
     """
-    steps = [(r"\p{Nd}+\.", ""), (r"[а-яА-Я]\)", ""), ("- ", " "), (r"\A-", ""), (r"[;.–·](?=\n?\z)", "")]
-    steps[0] = (r"[0-9]+\.", "")
+    # What is dropped, in this order, and what takes its place.
+    steps = [(r"[0-9]+\.", ""), (r"[а-яА-Я]\)", ""), ("- ", " "), (r"\A-", ""), (r"[;.–·](?=\n?\z)", "")]
     for pattern, by in steps:
         c = F.regexp_replace(c, pattern, by)
     c = F.regexp_replace(c, r"[^\p{L}\p{N}\n \-,()/\\!?;.]", "")

@@ -18,10 +18,24 @@ class NotOneDocument(LookupError):
     """A needle that must name one document names none or several."""
 
 
-def current(docs: DataFrame) -> DataFrame:
-    """The latest row of each id, by updated_at, then created_at, then text; rows without id are left out."""
-    order = Window.partitionBy("id").orderBy(*[F.col(c).desc_nulls_last() for c in ("updated_at", "created_at", "text", "ner_text", "system_id", "object_type", "root_id", "is_active")])
-    return docs.where(F.col("id").isNotNull()).withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+#: The order in which rows of an id are compared: the latest, then by the short columns, then by a hash of each text.
+_SHORT = ["updated_at", "created_at", "system_id", "object_type", "root_id", "is_active"]
+_LONG = ["text", "ner_text"]
+
+
+def current(docs: DataFrame, *fields: str, **made: Column) -> DataFrame:
+    """The latest row of each id, by updated_at, then created_at; rows without id are left out.
+
+    With ``fields`` only these columns come out, and texts not among them are not even read. ``made`` are columns computed from
+    a row before rows are compared, so that a flag about a text is shuffled and not the text. Rows as late as one another that
+    differ are told by their other columns, so the result does not hang on the order of rows.
+    """
+    fields = list(fields) or ([] if made else list(docs.columns))
+    texts = [c for c in _LONG if c in fields]
+    rows = docs.where(F.col("id").isNotNull()).select(*dict.fromkeys(["id", *_SHORT, *fields]), *[c.alias(n) for n, c in made.items()])
+    ties = [*_SHORT, *[F.xxhash64(c) for c in texts], *made]
+    order = Window.partitionBy("id").orderBy(*[(F.col(c) if isinstance(c, str) else c).desc_nulls_last() for c in ties])
+    return rows.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*fields, *made)
 
 
 def of_type(docs: DataFrame, kind: str) -> DataFrame:
@@ -45,7 +59,7 @@ def needs_update(update: int, text: Column | None = None, done: Column | None =
 
 
 def worklist(docs: DataFrame, update: int = 1, kind: str | None = None) -> DataFrame:
-    """Documents to extract from: one filter, pushed to the scan."""
+    """Documents to extract from: one filter over documents unique by id."""
     return eligible(docs, kind).where(needs_update(update))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.operators import punctuation, sentences, spans
+from spanloom.plans.skew import lookup_join
 from spanloom.session import stage
 
 
@@ -27,12 +28,20 @@ def majority_class(data: DataFrame, order: str = "id") -> DataFrame:
 
 
 def with_majority_class(data: DataFrame, order: str = "id") -> DataFrame:
-    """Every span with the majority class of its keyword. Rows meet only the classes of their own keywords."""
-    top = majority_class(data, order)
-    row = data.withColumn("_row", F.monotonically_increasing_id())
+    """Every span with the majority class of its keyword."""
+    return with_class_of(data, majority_class(data, order), order)
+
+
+def with_class_of(data: DataFrame, classes: DataFrame, order: str = "id") -> DataFrame:
+    """Every span with the class that ``classes`` (token, class; tokens unique) has for its keyword; others keep theirs.
+
+    Rows meet only the classes of their own keywords. A row is known by its key and text, so rows that are equal in both share one
+    list of classes, and a repeated task finds the same rows.
+    """
+    row = data.withColumn("_row", F.xxhash64(order, "text"))
+    values = F.array_distinct(F.transform(spans.spans_or_none(F.col("entities")), lambda e: spans.value_of(F.col("text"), e)))
     own = (
-        row.select("_row", F.explode(F.array_distinct(F.transform(spans.spans_or_none(F.col("entities")), lambda e: spans.value_of(F.col("text"), e)))).alias("token"))
-        .join(top, "token")
+        lookup_join(row.select("_row", F.explode(values).alias("token")).distinct(), classes.select("token", "class"), "token", "inner")
         .groupBy("_row")
         .agg(F.map_from_entries(F.collect_list(F.struct("token", "class"))).alias("_class"))
     )
@@ -40,7 +49,7 @@ def with_majority_class(data: DataFrame, order: str = "id") -> DataFrame:
         F.col("entities"),
         lambda e: spans.span(e["start"], e["end"], F.coalesce(F.try_element_at("_class", spans.value_of(F.col("text"), e)), e["class"])),
     )
-    return row.join(own, "_row", "left").withColumn("entities", new).drop("_row", "_class")
+    return lookup_join(row, own, "_row").withColumn("entities", new).drop("_row", "_class")
 
 
 def preprocess(data: DataFrame, languages: list[str] = (), lemmas: dict[str, str] | None = None, order: str = "id") -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import documents, sentences, spans
 from spanloom.operators.store import Store, save, saved_data
+from spanloom.plans.skew import lookup_join
 from spanloom.schemas import EXTRACTED, SPANS
+from spanloom.session import stage
 
 #: A tagger gets the tokens of a document's sentences and gives a tag for each token.
 Tagger = Callable[[list[list[str]]], list[list[str]]]
@@ -78,6 +80,19 @@ def _run_lengths(keywords: DataFrame) -> DataFrame:
     return sizes.where("n > 0").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
 
 
+#: Characters of a dictionary up to which it is sent to every worker.
+SENT = 20_000_000
+
+
+def _met(runs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Runs that are in the dictionary. A dictionary of a checked size is sent to the runs, which then are not shuffled; a larger one
+    is met by value, frequent runs (keyword or not) apart from the others."""
+    size = dictionary.agg(F.sum(F.length("value") + F.coalesce(F.length("class"), F.lit(0)) + 16)).collect()[0][0] or 0
+    if size <= SENT:
+        return runs.join(F.broadcast(dictionary), "value")
+    return lookup_join(runs, dictionary, "value", "inner")
+
+
 def extract_by_dictionary(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(id, text, entities, status) for (id, text): known keywords of any number of tokens, longest first, without overlap.
 
@@ -96,9 +111,8 @@ def extract_by_dictionary(texts: DataFrame, keywords: DataFrame) -> DataFrame:
         )
     )
     every = tok.select("id", "text", F.explode(runs).alias("r")).select("id", F.lower(spans.cut(F.col("text"), F.col("r.start"), F.col("r.end"))).alias("value"), "r.start", "r.end")
-    dictionary = keywords.groupBy("value").agg(F.min_by("type", "id").alias("class"))
-    # Runs that are common but no keyword would make a join by value lopsided; the adaptive skew join splits them.
-    hits = every.join(dictionary, "value")
+    dictionary = keywords.where(F.col("value").isNotNull()).groupBy("value").agg(F.min_by("type", "id").alias("class"))
+    hits = _met(every, dictionary)
     per = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), "class"))).alias("h"))
     taken = F.aggregate(
         "h",
@@ -139,4 +153,6 @@ def extract_documents(
     todo = documents.worklist(docs, update, kind) if needle is None else documents.by_needle(docs, needle).where(documents.needs_update(update))
     texts = todo.select("id", F.coalesce("text", F.lit("")).alias("text"))
     found = extract(texts, load) if load else extract_by_dictionary(texts, store.keywords)
-    return save(store, merge_with_saved(found, store), as_of)
+    # Written once: the merge and the three tables of the result read it several times, and a model must not run for each.
+    found = stage(found, "found")
+    return save(store, stage(merge_with_saved(found, store), "merged"), as_of)

@@ -275,7 +275,7 @@ def merge(data: DataFrame, carry_status: bool = False) -> DataFrame:
             ids = F.transform(F.array_sort(F.transform(here, lambda x: F.struct((-x["rank"]).alias("r"), x["i"].alias("i")))), lambda x: x["i"])
             return let(
                 ids,
-                lambda k: F.struct(F.array_union(w["won"], F.slice(k, 1, 1)).alias("won"), F.array_union(w["lost"], F.slice(k, 2, 1_000_000)).alias("lost")),
+                lambda k: F.struct(F.array_union(w["won"], F.slice(k, 1, 1)).alias("won"), F.array_union(w["lost"], F.slice(k, F.lit(2), F.size(k))).alias("lost")),
             )
 
         starts = F.array_sort(F.array_distinct(F.transform(s["spans"], lambda x: x["e"]["start"])))
@@ -334,6 +334,7 @@ EMPTY_WORDS = [
 
 # The two letters с (Cyrillic) and c (Latin) in names of languages.
 SAME_LANGUAGE = {"с++": "c++", "с": "c"}
+# C++ written apart, and together.
 SPACED_PLUS = [("С ++", "C++ "), ("C ++", "c++ "), ("С\n++", "С++ "), ("C\n++", "С++ ")]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.operators import entities, sentences, spans
+from spanloom.operators import sentences, spans
 
 
 def record_id(kind: Column, own: Column, meta_id: Column) -> Column:
@@ -76,5 +76,3 @@ def evaluate(tokens: DataFrame, by: str = "kind", truth: str = "label", guess: s
     p, r = F.try_divide("hits", "guessed"), F.try_divide("hits", "true")
     return out.select(by, F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 6).alias("f1"), "n")
 
-
-majority_class = entities.majority_class

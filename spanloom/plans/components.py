@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.plans.skew import lookup_join
-from spanloom.session import stage
+from spanloom.session import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,10 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = stage(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
-        large = _large_star(edges)
-        small = stage(_small_star(large), "edges")
+        large = stage(_large_star(edges), "large")
+        small = stage(_small_star(large), "edges", replaces=large)
         if _same(edges, small):
+            discard(small)
             break
+        discard(edges)
         edges = small
     stars = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("id"), "root")).distinct()

@@ -8,9 +8,9 @@ from spanloom.operators import documents
 from spanloom.session import table
 
 
-def docs(spark: SparkSession, d: str) -> DataFrame:
-    """The document table, one row per id (the latest)."""
-    return documents.current(table(spark, d, "nav_document"))
+def docs(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    """The document table, one row per id (the latest); with ``fields`` these columns only."""
+    return documents.current(table(spark, d, "nav_document"), *fields)
 
 
 def data(spark: SparkSession, d: str) -> DataFrame:
@@ -18,7 +18,7 @@ def data(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "datum").dropDuplicates(["id"])
 
 
-_LATEST = ", ".join(f"{c} desc nulls last" for c in ("updated_at", "created_at", "text", "ner_text", "system_id", "object_type", "root_id", "is_active"))
+_LATEST = ", ".join(f"{c} desc nulls last" for c in ("updated_at", "created_at", "system_id", "object_type", "root_id", "is_active", "text", "ner_text"))
 
 DOCS = f"docs as (select * exclude (k) from (select *, row_number() over (partition by id order by {_LATEST}) as k from nav_document where id is not null) where k = 1)"
 DATA = "data as (select * exclude (k) from (select *, row_number() over (partition by id) as k from datum) where k = 1)"

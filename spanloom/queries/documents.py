@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,22 +13,26 @@ _TYPES = ("vacancy", "rpd", "iot_plan")
 
 
 def documents_of_type(spark: SparkSession, d: str) -> DataFrame:
-    return documents.of_type(docs(spark, d), "vacancy")
+    return documents.of_type(docs(spark, d, "id", "object_type", "text"), "vacancy")
 
 
 def eligible(spark: SparkSession, d: str) -> DataFrame:
-    return documents.eligible(docs(spark, d)).select("id", "object_type")
+    rows = documents.current(table(spark, d, "nav_document"), "id", "object_type", "is_active", "root_id", text=F.when(F.col("text").isNotNull(), F.lit("")))
+    return documents.eligible(rows).select("id", "object_type")
 
 
 def worklist(spark: SparkSession, d: str) -> DataFrame:
-    """All three modes of updating."""
-    one = lambda u: documents.worklist(docs(spark, d), u).select(F.lit(u).alias("update_mode"), "id")
-    return reduce(DataFrame.unionByName, map(one, (0, 1, 2)))
+    """All three modes of updating, in one pass; only flags about the texts are shuffled."""
+    modes = F.array(*[F.when(documents.needs_update(u), F.lit(u)) for u in (0, 1, 2)])
+    rows = documents.current(
+        table(spark, d, "nav_document"), "id", "is_active", "root_id", text=F.when(F.col("text").isNotNull(), F.lit("")), modes=F.array_compact(modes)
+    )
+    return documents.eligible(rows).select(F.explode("modes").alias("update_mode"), "id")
 
 
 def needles(spark: SparkSession, d: str) -> DataFrame:
     """Needles of every form for every document, good and bad."""
-    rows = docs(spark, d)
+    rows = docs(spark, d, "id", "object_type", "system_id")
     forms = F.array(
         F.col("id").cast("string"),
         F.concat(F.lit("0"), F.col("id").cast("string")),
@@ -45,36 +47,37 @@ def parsed_needles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def needle_bulk(spark: SparkSession, d: str) -> DataFrame:
-    return documents.by_needles(needles(spark, d), docs(spark, d))
+    return documents.by_needles(needles(spark, d), docs(spark, d, "id", "object_type", "system_id"))
 
 
 def confirmed_documents(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "document_keyword").where("status = 'confirmed'").select(F.col("document_id").alias("id"))
-    return documents.by_ids(docs(spark, d), ids).select("id", "object_type", "system_id")
+    return documents.by_ids(docs(spark, d, "id", "object_type", "system_id"), ids)
 
 
 def resolved_roots(spark: SparkSession, d: str) -> DataFrame:
-    return documents.resolve_root(docs(spark, d))
+    return documents.resolve_root(docs(spark, d, "id", "root_id", "object_type", "system_id"))
 
 
 def roots(spark: SparkSession, d: str) -> DataFrame:
-    return documents.with_roots(docs(spark, d))
+    return documents.with_roots(docs(spark, d, "id", "root_id"))
 
 
 def root_members(spark: SparkSession, d: str) -> DataFrame:
-    return documents.root_members(docs(spark, d))
+    return documents.root_members(docs(spark, d, "id", "root_id"))
 
 
 def duplicate_lists(spark: SparkSession, d: str) -> DataFrame:
-    return documents.duplicate_lists(docs(spark, d))
+    return documents.duplicate_lists(docs(spark, d, "id", "root_id", "object_type", "system_id"))
 
 
 def status(spark: SparkSession, d: str) -> DataFrame:
-    return documents.status(docs(spark, d))
+    same = F.col("ner_text").eqNullSafe(F.col("text"))
+    return documents.current(table(spark, d, "nav_document"), *documents.STATUS_FIELDS, ner_extracted=same)
 
 
 def listing(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).drop("text", "ner_text").select("id", "object_type", "system_id")
+    return docs(spark, d, "id", "object_type", "system_id")
 
 
 def last_batch_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +89,7 @@ def root_per_cluster(spark: SparkSession, d: str) -> DataFrame:
     """The smallest id of each group of direct duplicates, on every row."""
     from pyspark.sql.window import Window
 
-    rows = docs(spark, d).select("id", F.coalesce("root_id", "id").alias("cluster"))
+    rows = docs(spark, d, "id", "root_id").select("id", F.coalesce("root_id", "id").alias("cluster"))
     return rows.withColumn("first_id", F.min("id").over(Window.partitionBy("cluster")))
 
 

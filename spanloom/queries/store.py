@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import fix_keyword
 from spanloom.operators import extract, spans, store, training
 from spanloom.queries.common import DATA, DOCS, SPANS, data, docs, strip_sql
-from spanloom.session import table, work_dir
+from spanloom.session import new_path, table
 from spanloom.sources import jsonl
 
 AS_OF = datetime(2032, 1, 1)
@@ -70,7 +69,7 @@ def _confirmed(spark, d):
 
 
 def _vacancies(spark, d):
-    return docs(spark, d).where("object_type = 'vacancy'").select("id")
+    return docs(spark, d, "id", "object_type").where("object_type = 'vacancy'").select("id")
 
 
 def link_upsert(spark, d):
@@ -85,7 +84,7 @@ def stale_links(spark, d):
 
 
 def marked_processed(spark, d):
-    rows = store.mark_processed(docs(spark, d), _vacancies(spark, d))
+    rows = store.mark_processed(docs(spark, d, "id", "text", "ner_text"), _vacancies(spark, d))
     return rows.select("id", F.col("ner_text").eqNullSafe(F.col("text")).alias("same"), F.length("ner_text").alias("n_chars"))
 
 
@@ -101,7 +100,7 @@ def extraction_keywords(spark, d):
 
 def jsonl_round_trip(spark, d):
     """The data written as lines of JSON and read again."""
-    path = f"{work_dir(spark)}/spanloom/jsonl-{uuid.uuid4().hex}"
+    path = new_path(spark, "jsonl")
     rows = data(spark, d).where("text is not null").select("id", F.substring_index("id", "-", 1).alias("kind"), "text", "entities", "status")
     jsonl.write_jsonl(rows, path)
     back = jsonl.read_jsonl(spark, path)
@@ -110,7 +109,7 @@ def jsonl_round_trip(spark, d):
 
 def training_files(spark, d):
     """Two files of records, the second with the rpd records again; later records override."""
-    path = f"{work_dir(spark)}/spanloom/training-{uuid.uuid4().hex}"
+    path = new_path(spark, "training")
     rows = data(spark, d).where("text is not null").select(
         F.substring_index("id", "-", -1).alias("id"), F.substring_index("id", "-", 1).alias("kind"), "text", "entities", F.create_map().cast("map<string,string>").alias("status"),
         F.struct(F.when(F.size("entities") > 0, F.substring_index("id", "-", -1)).alias("id")).alias("meta"),
@@ -122,7 +121,7 @@ def training_files(spark, d):
 
 
 def dictionary(spark, d):
-    path = f"{work_dir(spark)}/spanloom/words-{uuid.uuid4().hex}"
+    path = new_path(spark, "words")
     table(spark, d, "canon_term").where("type = 'ProgLanguage'").select(F.concat(F.lit(" "), F.lower("name"), F.lit("  "))).write.text(path)
     return jsonl.read_words(spark, path)
 

@@ -70,7 +70,7 @@ def stemmed(spark, d):
 
 
 def lemmatized(spark, d):
-    return TextLemmatizer(inputCol="text", outputCol="lemmas", lemmas={"навыки": "навык"}).transform(docs(spark, d).select("id", "text")).select("id", "lemmas")
+    return TextLemmatizer(inputCol="text", outputCol="lemmas", lemmas={"навыки": "навык"}).transform(docs(spark, d, "id", "text")).select("id", "lemmas")
 
 
 def script_of_words(spark, d):
@@ -204,8 +204,9 @@ def _language_names(spark, d):
 
 
 def overridden(spark, d):
-    listed = F.array(*[F.lit(n) for n in _language_names(spark, d)]).cast("array<string>")
-    return _spans(data(spark, d).where(_text().isNotNull()).withColumn("entities", spans.override_class(_text(), spans.spans_or_none(F.col("entities")), listed, "ProgLanguage")))
+    """The dictionary meets the spans by keyword."""
+    names = table(spark, d, "canon_term").where("type = 'ProgLanguage'").select(F.lower("name").alias("token"), F.lit("ProgLanguage").alias("class")).distinct()
+    return _spans(entities.with_class_of(data(spark, d).where(_text().isNotNull()), names))
 
 
 #: Inflected forms of the words that say nothing at the start of a skill, by lemma.
@@ -306,7 +307,7 @@ def keyword_spans(spark, d):
     from spanloom.operators import documents
 
     kw = table(spark, d, "keyword").select("id", t.fix_keyword(F.col("value")).alias("value"), "type")
-    return _spans(extract.extract_by_dictionary(documents.eligible(docs(spark, d)).select("id", "text"), kw))
+    return _spans(extract.extract_by_dictionary(documents.eligible(docs(spark, d, "id", "is_active", "root_id", "text")).select("id", "text"), kw))
 
 
 QUERIES = {

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SPAN = "struct<start:int,`end`:int,class:string>"
 SPANS = f"array<{SPAN}>"
-DATUM = f"id string, text string, entities {SPANS}, status map<string,string>"
 DOCUMENT = "id long, object_type string, system_id string, root_id long, is_active boolean, created_at timestamp, updated_at timestamp, text string, ner_text string"
 KEYWORD = "id long, value string, type string, updated_at timestamp"
 LINK = "document_id long, keyword_id long, status string, meta struct<indices:array<array<int>>>, created_at timestamp, updated_at timestamp"
@@ -25,7 +23,3 @@ def priority(status: Column) -> Column:
     for name, n in PRIORITY.items():
         out = F.when(status == name, n).otherwise(out)
     return out
-
-
-def struct_type(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)

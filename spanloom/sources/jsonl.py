@@ -47,14 +47,16 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def read_training(spark: SparkSession, files: list[str]) -> DataFrame:
     """Records of several files, each id once: the last record holds, in the place of the first.
 
-    Later files override earlier ones; inside a file later lines override. ``file_no`` and ``line_no`` say where a record
-    stands: file order is the order given, line order follows the position in the file.
+    Later files override earlier ones; inside a file later lines override. ``file_no`` is the place in the list given. Of a
+    folder of part files the order is that of their paths. A line that is no JSON raises.
     """
     lines = None
     for i, f in enumerate(files):
-        raw = spark.read.text(f).select(F.lit(i).alias("file_no"), F.monotonically_increasing_id().alias("line_no"), F.col("value"))
+        # The id increases along each block of a file, which one task reads from its start.
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+        raw = spark.read.text(f).select(F.lit(i).alias("file_no"), place.alias("line_no"), F.col("value"))
         lines = raw if lines is None else lines.unionByName(raw)
-    rows = lines.where(F.trim("value") != "").select("file_no", "line_no", F.from_json("value", _LINE).alias("r"))
+    rows = lines.where(F.trim("value") != "").select("file_no", "line_no", F.from_json("value", _LINE, {"mode": "FAILFAST"}).alias("r"))
     rows = rows.select("file_no", "line_no", "r.*").withColumn("entities", spans_of(F.col("entities")))
     rows = rows.withColumn("id", record_id(F.col("kind"), F.col("id"), F.col("meta.id")))
     return last_of_each(rows, "id", ["file_no", "line_no"])
