@@ -1,26 +1,31 @@
 """Problem 2: each new batch against everything accepted so far.
 
-The history is an index of entries: per text a content fingerprint, minwise band keys, a short
-signature and the hashed words. A probe explodes the band keys of the batch, meets only index
-buckets with an equal key, filters the candidates by signature and verifies the rest on all words. Accepted
-records' entries are appended; the history is never read as text again.
+The history is an index of tables in one folder, written once and appended to:
+
+* ``bands`` (key, fp), partitioned by ``bucket``, a hash of the minwise band key;
+* ``texts`` (fp, ids, number of words, signature, hashed words), partitioned by ``part``, a hash of the fingerprint;
+* ``seen`` (id), the ids of all batch rows so far, partitioned likewise.
+
+A probe computes the band keys of the batch, reads only the buckets these keys fall in (a filter on the partition column), joins on
+the key, reads signatures and words of the candidates' parts only, verifies, and appends what it accepts. No text is read again, and
+no row of the history outside of the touched buckets and parts.
 
 Similarity. Words are runs of letters and digits after markup is removed and look-alike
 characters are brought to one form; their order does not count. Of two texts with word multisets A
 and B the share kept is |A and B| / max(|A|, |B|); a text repeats another when it is ``SAME`` or
 more. That lies between one word in six changed (0.833) and more than a quarter (below 0.75).
 
-Texts of equal words form a class with one fingerprint. Within a task only the first of them has band keys, so
-a group of copies, however large, puts at most one row per task into a bucket. A large group of near copies crowds its
+Texts of equal words form a class with one fingerprint, one row of ``texts`` and one set of keys, so
+a group of copies, however large, puts one row into a bucket. A large group of near copies crowds its
 buckets: there each class first meets the first of the bucket, and classes that seem new afterwards meet the others, until
 nothing changes. That settles the verdicts; the classes that repeat then meet the history and all accepted classes of their buckets, so the
-most similar document is named there as elsewhere.
+most similar document is named there as elsewhere. ``crowd`` changes the order of the work only, not the result.
 
 Cases: a null text, an empty one or one of fewer than ``LEAST_WORDS`` words has no content: it
 repeats nothing and is not repeated. A batch row whose id came in an earlier batch (or is
 listed twice) counts once, at its first place. A row is not compared with a row of its own id. Of
 several repeated documents the most similar is named, then the one with the smallest id. Texts are processed
-whole. Rows with a null id are left out. Empty tables give no row.
+whole. Rows with a null id are left out; a null batch number comes before all others. Empty tables give no row.
 """
 
 from __future__ import annotations
@@ -31,21 +36,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.lookalike import fold
-from spanloom.session import stage, work_dir
+from spanloom.session import discard, new_path, stage, together
 
 SAME = 0.79
 LEAST_WORDS = 5
 HASHES = 128
-BANDS = 56
-ROWS = 8
-SKETCH = 64
-#: Signatures that agree on less than this share are no candidates: 3.7 standard deviations below the
-#: agreement of two texts with one word in six changed (0.714).
-SKETCH_LEAST = 0.5
+#: A pair at ``SAME`` shares a band of ``ROWS`` hashes with probability 0.0775, one of ``BANDS`` with 0.94.
+BANDS = 34
+ROWS = 6
+#: Hashes (of 128, two bits of each kept) in which the signatures of candidates may differ: 2.6 standard deviations above what two
+#: texts at ``SAME`` differ in.
+MISMATCHES = 46
+#: Partitions of the tables. A bucket of the history expected should hold about a gigabyte: thousands at 100 TB.
+BUCKETS = 32
+PARTS = 16
 #: Classes of a batch in one bucket from which the bucket is crowded.
 CROWD = 200
 
@@ -56,7 +64,8 @@ _MULTIPLIERS = _rng.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _SUBSETS = np.stack([_rng.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)])
 _WEIGHTS = _rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
-ENTRY = "fp long, n int, words array<int>, sketch binary, bands array<long>"
+_SKETCH = ["s0", "s1", "s2", "s3"]
+ENTRY = "fp long, n int, words array<int>, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -127,6 +136,13 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _sketches(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each hash, as two planes of bits: four 64-bit numbers a text."""
+    two = (sig * np.uint32(0x9E3779B1)) >> np.uint32(30)
+    planes = [np.packbits((two >> np.uint32(k)).astype(np.uint8) & 1, axis=1) for k in (0, 1)]
+    return np.concatenate(planes, axis=1).view(np.int64)
+
+
 def _entries(n_keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = _Words(), set()
@@ -152,7 +168,7 @@ def _entries(n_keys: int):
                 word32 = (f1 >> np.uint64(16)).astype(np.uint32).view(np.int32)
                 if first:
                     sig = _signatures(f1, b1[:-1])
-                    keys, sketch = _band_keys(sig), (sig[:, :SKETCH] & np.uint32(0xFF)).astype(np.uint8)
+                    keys, sketch = _band_keys(sig), _sketches(sig)
                 # Later copies in this task carry only their fingerprint.
                 where = np.cumsum(is_first) - 1
                 some = lambda values, size: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), values)
@@ -161,10 +177,10 @@ def _entries(n_keys: int):
                     pa.array(fp),
                     pa.array(n, pa.int32()),
                     some(pa.array(word32), np.where(is_first, n, 0)),
-                    pa.array([sketch[w].tobytes() if o else None for w, o in zip(where, is_first)], pa.binary()),
+                    *[pa.array(sketch[where, k] if first else np.zeros(len(keep), np.int64), mask=~is_first) for k in range(4)],
                     some(pa.array(keys.ravel() if first else np.empty(0, np.int64)), np.where(is_first, BANDS, 0)),
                 ]
-                names = [f"k{k}" for k in range(n_keys)] + ["fp", "n", "words", "sketch", "bands"]
+                names = [f"k{k}" for k in range(n_keys)] + ["fp", "n", "words", *_SKETCH, "bands"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
@@ -177,67 +193,36 @@ def entries(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return made.withColumnsRenamed({f"k{i}": k for i, k in enumerate(keys)})
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
-            ok = pa.array((x == y).mean(axis=1) >= SKETCH_LEAST)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["fp", "other"])
+def _differ(a: str = "", b: str = "_other") -> Column:
+    """The number of hashes in which two signatures differ."""
+    x = [F.col(c + a).bitwiseXOR(F.col(c + b)) for c in _SKETCH]
+    return F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3]))
 
 
-def _both(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Entries with band keys of either side, with their place in the order: history first, then batch number and id."""
-    cols = ["fp", "n", "words", "sketch", "bands"]
-    place = lambda b: F.struct(b.cast("long").alias("batch_no"), F.col("id").cast("long").alias("id"))
-    a = old.select(*cols, place(F.lit(-1)).alias("place"))
-    return a.unionByName(new.select(*cols, place(F.col("batch_no")).alias("place"))).where(F.col("sketch").isNotNull())
+def _bucket(key: Column, n: int) -> Column:
+    return F.pmod(key, F.lit(n)).cast("int")
 
 
-def crowded(new: DataFrame, most: int = CROWD) -> DataFrame:
-    """(key): buckets that more than ``most`` classes of the batch are in."""
-    keys = new.where(F.col("sketch").isNotNull()).select("fp", F.explode("bands").alias("key"))
+def crowded(keys: DataFrame, most: int = CROWD) -> DataFrame:
+    """(key): buckets that more than ``most`` classes of the batch (fp, key) are in."""
     return keys.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > most).select("key")
 
 
-def meet(new: DataFrame, old: DataFrame, crowds: DataFrame | None, full: bool = False) -> DataFrame:
-    """(fp, other): classes of ``new`` with the different classes they share a bucket with.
+def meet(mine: DataFrame, past: DataFrame, crowds: DataFrame | None) -> DataFrame:
+    """(fp, other): classes of the batch (fp, place, key) with classes of the history (other, key) and with one another, once a pair.
 
-    In a crowded bucket each class meets only the first class of the bucket, so the pairs grow with the bucket, not with its square; with
-    ``full`` the classes of ``new`` meet everything in the crowded buckets, and nothing else.
+    In a crowded bucket each class meets only the first class of the bucket, so the pairs grow with the bucket, not with its square.
     """
-    mine = new.where(F.col("sketch").isNotNull()).select("fp", F.explode("bands").alias("key"))
-    theirs = _both(new if not full else new.limit(0), old).select(F.col("fp").alias("other"), "place", F.explode("bands").alias("key"))
-    if full:
-        theirs = theirs.join(crowds, "key", "left_semi")
-        return mine.join(theirs.select("other", "key"), "key").where("fp <> other").select("fp", "other").distinct()
-    if crowds is None:
-        return mine.join(theirs.select("other", "key"), "key").where("fp <> other").select("fp", "other").distinct()
-    first = theirs.join(crowds, "key", "left_semi").groupBy("key").agg(F.min_by("other", F.struct("place", "other")).alias("other"))
-    apart = mine.join(crowds, "key", "left_anti").join(theirs.select("other", "key"), "key")
-    return apart.select("fp", "other").unionByName(mine.join(first, "key").select("fp", "other")).where("fp <> other").distinct()
-
-
-def verify(met: DataFrame, both: DataFrame) -> DataFrame:
-    """(fp, other, kept): the pairs that are similar, by signature first, then on all words."""
-    met = stage(met, "met")
-    # The same class may have been first in several tasks, with the same signature and words.
-    sketches = both.select("fp", "sketch").dropDuplicates(["fp"])
-    near = (
-        met.join(sketches, "fp")
-        .join(sketches.select(F.col("fp").alias("other"), F.col("sketch").alias("sketch_other")), "other")
-        .select("fp", "other", "sketch", "sketch_other")
-        .mapInArrow(_agree, "fp long, other long")
-    )
-    near = stage(near, "near")
-    used = near.select("fp").union(near.select("other")).distinct()
-    texts = both.select("fp", "n", "words").join(used, "fp", "left_semi").dropDuplicates(["fp"])
-    kept = F.size(F.array_intersect("words", "words_other")) / F.greatest("n", "n_other")
-    return (
-        near.join(texts, "fp")
-        .join(texts.select(F.col("fp").alias("other"), F.col("n").alias("n_other"), F.col("words").alias("words_other")), "other")
-        .select("fp", "other", kept.alias("kept"))
-        .where(F.col("kept") >= SAME)
-    )
+    calm, first = mine, None
+    if crowds is not None:
+        calm = mine.join(crowds, "key", "left_anti")
+        old = past.join(crowds, "key", "left_semi").groupBy("key").agg(F.min("other").alias("old"))
+        new = mine.join(crowds, "key", "left_semi").groupBy("key").agg(F.min_by("fp", F.struct("place", "fp")).alias("new"))
+        first = mine.join(new.join(old, "key", "left").select("key", F.coalesce("old", "new").alias("other")), "key").where("fp <> other").select("fp", "other")
+    calm = calm.select("fp", "key")
+    inner = calm.join(calm.withColumnRenamed("fp", "other"), "key").where("fp < other").select("fp", "other")
+    out = calm.join(past, "key").where("fp <> other").select("fp", "other").unionByName(inner)
+    return (out if first is None else out.unionByName(first)).distinct()
 
 
 def resolve(leaders: DataFrame, edges: DataFrame) -> DataFrame:
@@ -248,6 +233,9 @@ def resolve(leaders: DataFrame, edges: DataFrame) -> DataFrame:
     number of batches. Only the similar classes take part.
     """
     undecided = stage(edges.join(leaders.where("known").select("fp"), "fp", "left_anti"), "undecided")
+    if undecided.isEmpty():
+        discard(undecided)
+        return leaders.select("fp", (~F.col("known")).alias("accepted"))
     accepted = leaders.where(~F.col("known")).select("fp").join(undecided.select("fp").distinct(), "fp", "left_anti")
     decided = stage(leaders.where("known").select("fp", F.lit(False).alias("accepted")).unionByName(accepted.select("fp", F.lit(True).alias("accepted"))), "decided")
     while not undecided.isEmpty():
@@ -257,101 +245,138 @@ def resolve(leaders: DataFrame, edges: DataFrame) -> DataFrame:
             .agg(F.max(F.coalesce("accepted", F.lit(False))).alias("repeats"), F.count_if(F.col("accepted").isNull()).alias("open"))
         )
         now = stage(look.where("repeats or open = 0").select("fp", (~F.col("repeats")).alias("accepted")), "now")
-        decided = stage(decided.unionByName(now), "decided")
-        undecided = stage(undecided.join(now.select("fp"), "fp", "left_anti"), "undecided")
+        decided = stage(decided.unionByName(now), "decided", replaces=decided)
+        undecided = stage(undecided.join(now.select("fp"), "fp", "left_anti"), "undecided", replaces=undecided)
+        discard(now)
     return decided
 
 
 class HistoryIndex:
-    """Entries of everything accepted, as tables in one folder; each append adds files and reads none."""
+    """The tables of everything accepted, in the folder ``path``; each append adds files and reads none.
 
-    def __init__(self, spark, path: str | None = None, crowd: int = CROWD) -> None:
-        import uuid
+    An index opened again must be given the ``buckets`` and ``parts`` it was made with.
+    """
 
-        self.crowd = crowd
-        self.spark, self.path = spark, path or f"{work_dir(spark)}/spanloom/history-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, path: str | None = None, crowd: int = CROWD, buckets: int = BUCKETS, parts: int = PARTS) -> None:
+        self.spark, self.path, self.crowd, self.buckets, self.parts = spark, path or new_path(spark, "history"), crowd, buckets, parts
+        self.kinds = {
+            "bands": "key long, fp long, bucket int",
+            "texts": "fp long, low long, high long, n int, words array<int>, s0 long, s1 long, s2 long, s3 long, part int",
+            "seen": "id long, part int",
+        }
+
+    def _write(self, name: str, rows: DataFrame, by: str, of: str, n: int) -> None:
+        rows = rows.withColumn(by, _bucket(F.col(of), n)).repartition(min(n, 4 * self.spark.sparkContext.defaultParallelism), by)
+        rows.write.mode("append").partitionBy(by).parquet(f"{self.path}/{name}")
+
+    def read(self, name: str, at: list[int] | None = None) -> DataFrame:
+        """A table; with ``at`` these partitions of it only. A table without files is empty."""
+        kind, by = self.kinds[name], "bucket" if name == "bands" else "part"
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            return self.spark.createDataFrame([], kind)
+        rows = self.spark.read.schema(kind).parquet(f"{self.path}/{name}")
+        return rows if at is None else rows.where(F.col(by).isin(at))
 
     def append(self, found: DataFrame) -> None:
-        """Add entries (id, then the columns of ``ENTRY``)."""
-        found.select("id", "fp", "n", "words", "sketch", "bands").write.mode("append").parquet(self.path)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema("id long, " + ENTRY).parquet(self.path)
+        """Add classes (fp, low, high, n, words, signature, bands), each class once."""
+        together(
+            lambda: self._write("texts", found.select("fp", "low", "high", "n", "words", *_SKETCH), "part", "fp", self.parts),
+            lambda: self._write("bands", found.select("fp", F.explode("bands").alias("key")), "bucket", "key", self.buckets),
+        )
 
     def add_documents(self, docs: DataFrame) -> None:
-        self.append(entries(docs.where(F.col("id").isNotNull()).select("id", "text"), ["id"]))
+        """Accept documents (id, text) without probing."""
+        e = stage(entries(docs.where(F.col("id").isNotNull()).select("id", "text"), ["id"]), "entries")
+        ids = e.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+        self.append(e.where(F.col("s0").isNotNull()).drop("id").dropDuplicates(["fp"]).join(ids, "fp"))
+        discard(e)
 
     def probe(self, batch: DataFrame, keep: bool = False) -> DataFrame:
         """(id, repeats, kept) for each row of ``batch`` (batch_no, id, text) that repeats an accepted document.
 
         ``batch`` may hold any number of batches; they are decided in order of batch_no, then id, with the result
-        that probing and appending them one at a time would give. ``keep`` appends the accepted rows.
+        that probing and appending them one at a time gives. ``keep`` appends the accepted rows, and the ids of all.
         """
-        first = batch.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("batch_no").alias("batch_no"))
+        rows = batch.where(F.col("id").isNotNull()).select(F.coalesce(F.col("batch_no").cast("long"), F.lit(-1)).alias("batch_no"), F.col("id").cast("long").alias("id"), "text")
+        new = stage(entries(rows, ["batch_no", "id"]), "batch")
+        # Where the batch's keys, classes and ids fall: at most as many numbers as the tables have partitions.
+        mark = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("at"))
+        part = lambda c: _bucket(F.col(c), self.parts)
+        own = new.select(F.explode(F.array(mark("texts", part("fp")), mark("seen", part("id")))).alias("m"))
+        marks = own.unionByName(new.select(F.explode("bands").alias("key")).select(mark("bands", _bucket(F.col("key"), self.buckets)).alias("m"))).distinct().collect()
+        at = {name: sorted(r["m"]["at"] for r in marks if r["m"]["kind"] == name) for name in self.kinds}
+
         # The first place of each id; entries carry batch_no to choose it after the texts are hashed.
-        new = stage(entries(batch.where(F.col("id").isNotNull()).select("batch_no", "id", "text"), ["batch_no", "id"]), "batch")
-        old = self.read()
+        first = rows.groupBy("id").agg(F.min("batch_no").alias("batch_no")).join(self.read("seen", at["seen"]).select("id"), "id", "left_anti")
         place = new.select("batch_no", "id", "fp").distinct().join(first, ["batch_no", "id"], "left_semi")
-        place = stage(place, "place")
-        known = old.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        leaders = place.groupBy("fp").agg(F.min(F.struct(F.col("batch_no").cast("long").alias("batch_no"), "id")).alias("place"))
-        leaders = stage(leaders.join(known.select("fp", F.lit(True).alias("known")), "fp", "left").select("fp", "place", F.coalesce("known", F.lit(False)).alias("known")), "leaders")
-        crowds = stage(crowded(new, self.crowd), "crowds")
-        if crowds.isEmpty():
+        known = self.read("texts", at["texts"]).select("fp", "low", "high").join(new.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        leaders = place.groupBy("fp").agg(F.min(F.struct("batch_no", "id")).alias("place"), F.min("id").alias("least"), F.max("id").alias("most"))
+        leaders = stage(leaders.join(known, "fp", "left").withColumn("known", F.col("low").isNotNull()), "leaders")
+        # A class of the history needs no partner, unless a row of it would be compared with its own id.
+        asks = ~F.col("known") | ((F.col("low") == F.col("high")) & F.col("low").between(F.col("least"), F.col("most")))
+        active = stage(
+            new.where(F.col("s0").isNotNull()).drop("batch_no", "id").join(leaders.where(asks).select("fp", "place", "known"), "fp").dropDuplicates(["fp"]), "active"
+        )
+        mine = active.select("fp", "place", F.explode("bands").alias("key"))
+        past = self.read("bands", at["bands"]).select(F.col("fp").alias("other"), "key")
+        # No bucket holds more classes than there are.
+        crowds = stage(crowded(mine, self.crowd), "crowds") if active.count() > self.crowd else None
+        if crowds is not None and crowds.isEmpty():
             crowds = None
-        near = stage(verify(meet(new, old, crowds), _both(new, old)), "similar")
+        near = self._verify(meet(mine, past, crowds), active)
         later = leaders.where(~F.col("known")).select(F.col("fp").alias("other"), F.col("place").alias("place_other"))
 
         def links_of(near: DataFrame) -> tuple[DataFrame, DataFrame]:
             """Pairs with the history, and pairs with earlier classes of the batch."""
-            past = stage(near.join(known.withColumnRenamed("fp", "other"), "other").select("fp", "other", "kept", "low", "high"), "past")
-            return past, stage(near.join(leaders, "fp").join(later, "other").where("place_other < place").select("fp", "other", "kept"), "inner")
+            ahead = near.where("low is not null").select("fp", "other", "kept", "low", "high")
+            pairs = near.where("low is null").select("fp", "other", "kept")
+            both = pairs.unionByName(pairs.select(F.col("other").alias("fp"), F.col("fp").alias("other"), "kept"))
+            return ahead, both.join(leaders, "fp").join(later, "other").where("place_other < place").select("fp", "other", "kept").distinct()
 
         seen = None
         while True:
             # Similar classes of the history decide at once; between classes of the batch the earlier one counts.
-            past, inner = links_of(near)
-            settled = leaders.join(past.select("fp").distinct().withColumn("near", F.lit(True)), "fp", "left")
-            settled = settled.select("fp", "place", (F.col("known") | F.coalesce("near", F.lit(False))).alias("known"))
+            ahead, inner = links_of(near)
+            settled = leaders.join(ahead.select("fp").distinct().withColumn("near", F.lit(True)), "fp", "left")
+            settled = settled.select("fp", (F.col("known") | F.coalesce("near", F.lit(False))).alias("known"))
             decided = resolve(settled, inner.select("fp", F.col("other").alias("earlier")))
             accepted = decided.where("accepted").select("fp")
             if crowds is None:
                 break
             # What was told new in a crowded bucket has met only the first of it. It now meets the rest; that settles
             # every class that is decided as new, and a group of near copies has few of those.
-            inside = new.where(F.col("sketch").isNotNull()).select("fp", F.explode("bands").alias("key")).join(crowds, "key", "left_semi").select("fp").distinct()
-            todo = inside.join(accepted, "fp", "left_semi")
+            accepted = stage(accepted, "accepted")
+            dense = mine.select("fp", "key").join(crowds, "key", "left_semi")
+            todo = dense.select("fp").distinct().join(accepted, "fp", "left_semi")
             todo = stage(todo if seen is None else todo.join(seen, "fp", "left_anti"), "todo")
             if todo.isEmpty():
                 break
             seen = todo if seen is None else stage(seen.unionByName(todo), "seen")
-            both = _both(new, old)
-            more = meet(new.join(todo, "fp", "left_semi"), both.select("fp", "n", "words", "sketch", "bands", F.col("place.id").alias("id")), crowds, full=True)
-            found = verify(more, both)
-            # A new pair counts in both directions.
-            turned = found.select(F.col("other").alias("fp"), F.col("fp").alias("other"), "kept").join(leaders.select("fp"), "fp", "left_semi")
-            near = stage(near.unionByName(found).unionByName(turned).distinct(), "similar")
+            theirs = past.join(crowds, "key", "left_semi").unionByName(dense.withColumnRenamed("fp", "other"))
+            more = dense.join(todo, "fp", "left_semi").join(theirs, "key").where("fp <> other").select("fp", "other").distinct()
+            near = stage(near.unionByName(self._verify(more, active)).distinct(), "similar", replaces=near)
 
         if crowds is not None:
             # The classes that repeat have met only the first of a crowded bucket: now all they could repeat. An accepted class is in
             # ``seen``, so no verdict changes; only the partner named does.
-            rest = inside if seen is None else inside.join(seen, "fp", "left_anti")
-            could = _both(new, old).select("fp", "n", "words", "sketch", "bands", F.col("place.id").alias("id")).join(known.select("fp").unionByName(accepted).distinct(), "fp", "left_semi")
-            more = meet(new.join(stage(rest, "rest"), "fp", "left_semi"), could, crowds, full=True)
-            near = stage(near.unionByName(verify(more, _both(new, old))).distinct(), "similar")
-            past, inner = links_of(near)
+            rest = dense if seen is None else dense.join(seen, "fp", "left_anti")
+            could = past.join(crowds, "key", "left_semi").unionByName(dense.join(accepted, "fp", "left_semi").withColumnRenamed("fp", "other"))
+            more = rest.join(could, "key").where("fp <> other").select("fp", "other").distinct()
+            near = stage(near.unionByName(self._verify(more, active)).distinct(), "similar", replaces=near)
+            ahead, inner = links_of(near)
 
         # What each class repeats: its own text in the history or in the batch, a similar one in the history, a similar one accepted from the batch.
-        at = leaders.select("fp", F.col("place.id").alias("leader"))
+        at_first = leaders.select("fp", F.col("place.id").alias("leader"))
         links = (
-            at.join(known, "fp").select("fp", F.lit(1.0).alias("kept"), "low", "high")
-            .unionByName(past.select("fp", "kept", "low", "high"))
+            leaders.where("known").select("fp", F.lit(1.0).alias("kept"), "low", "high")
+            .unionByName(ahead.select("fp", "kept", "low", "high"))
             .unionByName(
                 inner.join(accepted.withColumnRenamed("fp", "other"), "other")
-                .join(at.withColumnRenamed("fp", "other"), "other")
+                .join(at_first.withColumnRenamed("fp", "other"), "other")
                 .select("fp", "kept", F.col("leader").alias("low"), F.col("leader").alias("high"))
             )
-            .unionByName(at.join(accepted, "fp").select("fp", F.lit(1.0).alias("kept"), F.col("leader").alias("low"), F.col("leader").alias("high")))
+            .unionByName(at_first.join(accepted, "fp").select("fp", F.lit(1.0).alias("kept"), F.col("leader").alias("low"), F.col("leader").alias("high")))
         )
         found = (
             place.select("id", "fp").join(links, "fp")
@@ -362,8 +387,42 @@ class HistoryIndex:
             .select("id", (-F.col("best.to")).alias("repeats"), F.col("best.kept").alias("kept"))
         )
         # The leader of an accepted class repeats nothing.
-        leads = at.join(accepted, "fp").select(F.col("leader").alias("id"))
-        found = stage(found.join(leads, "id", "left_anti"), "found")
+        leads = at_first.join(accepted, "fp")
+        found = found.join(leads.select(F.col("leader").alias("id")), "id", "left_anti")
         if keep:
-            self.append(new.join(leads, "id", "left_semi"))
+            # What is appended does not hang on what is found; the tables read above are fixed lists of files.
+            fresh = active.join(leads.select("fp", F.col("leader").alias("low"), F.col("leader").alias("high")), "fp")
+            found, *_ = together(lambda: stage(found, "found"), lambda: self.append(fresh), lambda: self._write("seen", rows.select("id").distinct(), "part", "id", self.parts))
+        else:
+            found = stage(found, "found")
+        discard(new, leaders, active, near)
         return found
+
+    def _verify(self, met: DataFrame, active: DataFrame) -> DataFrame:
+        """(fp, other, kept, low, high): the pairs that are similar, by signature first, then on all words; ``low`` and ``high`` are the
+        ids of a class of the history and null for one of the batch."""
+        met = stage(met, "met")
+        # Candidates of the history lie in these parts only.
+        parts = sorted(r[0] for r in met.select(_bucket(F.col("other"), self.parts)).distinct().collect())
+        cols = ["fp", "n", "words", *_SKETCH]
+        nothing = F.lit(None).cast("long")
+        old = self.read("texts", parts).select(*cols, "low", "high")
+        both = old.unionByName(active.where(~F.col("known")).select(*cols, nothing.alias("low"), nothing.alias("high")))
+        mine = active.select(*cols)
+        other = lambda d, *more: d.select(*[F.col(c).alias("other" if c == "fp" else f"{c}_other") for c in d.columns if c not in more], *more)
+        near = (
+            met.join(mine.select("fp", *_SKETCH), "fp")
+            .join(other(both.select("fp", *_SKETCH)), "other")
+            .where(_differ() <= MISMATCHES)
+            .select("fp", "other")
+        )
+        kept = F.size(F.array_intersect("words", "words_other")) / F.greatest("n", "n_other")
+        out = (
+            near.join(mine.select("fp", "n", "words"), "fp")
+            .join(other(both.select("fp", "n", "words", "low", "high"), "low", "high"), "other")
+            .select("fp", "other", kept.alias("kept"), "low", "high")
+            .where(F.col("kept") >= SAME)
+        )
+        out = stage(out, "verified")
+        discard(met)
+        return out

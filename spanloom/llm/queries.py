@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """The index is built from the documents, then each batch is probed and its accepted rows are appended, in order of batch_no."""
     index = history.HistoryIndex(spark)
     index.add_documents(table(spark, d, "nav_document"))
-    return index.probe(table(spark, d, "document_batch"))
+    batches = table(spark, d, "document_batch")
+    # One number a delivery; rows without a number come first.
+    numbers = sorted((r[0] for r in batches.select("batch_no").distinct().collect()), key=lambda n: (n is not None, n))
+    found = [index.probe(batches.where(F.col("batch_no").eqNullSafe(F.lit(n))), keep=True) for n in numbers]
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "id long, repeats long, kept double"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
