@@ -18,15 +18,15 @@ def heavy_keys(df: DataFrame, key: str, share: int = 64) -> list:
 
 
 def lookup_join(
-    df: DataFrame, lookup: DataFrame, key: str, how: str = "left", share: int = 64
+    df: DataFrame, lookup: DataFrame, key: str, how: str = "left", share: int = 64, hot: list | None = None
 ) -> DataFrame:
     """``df`` joined to ``lookup`` (unique on ``key``) without a hot task.
 
     Rows of heavy keys meet the at most ``share`` lookup rows of those keys by broadcast and
     are not shuffled; all other rows are joined by the planner's choice. Rows with a null key
-    match nothing and are kept by a left join.
+    match nothing and are kept by a left join. ``hot`` are the heavy keys, if they are known already.
     """
-    hot = heavy_keys(df, key, share)
+    hot = heavy_keys(df, key, share) if hot is None else hot
     if not hot:
         return df.join(lookup, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

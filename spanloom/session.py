@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
@@ -98,7 +97,7 @@ def scope(spark: SparkSession) -> Iterator[None]:
 def together(*jobs: Callable[[], object]) -> list:
     """The results of independent jobs that run side by side, so that short ones do not wait for one another."""
     with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
