@@ -49,10 +49,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "nav_document")
-    grouped = survivor.with_group(rows, survivor.chain_ends(rows))
-    won = survivor.field_winners(grouped, survivor.default_filled())
-    return won.join(survivor.groups_of_several(grouped), "group_id", "left_semi").select("group_id", "field", "from_id")
+    """Read from the survivors after the pivot."""
+    return survivor.sources(survivor.survivor_rows(table(spark, d, "nav_document")))
 
 
 def p4_survivors(spark: SparkSession, d: str) -> DataFrame:

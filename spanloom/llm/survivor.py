@@ -5,9 +5,11 @@ is the logarithm of the longest chain. The survivor is chosen field by field: fi
 to long rows, each filled field votes for its normalised value, votes are summed per value, and the
 value with the strongest claim wins by ``max_by``; the winners are pivoted back to one record.
 
-A vote weighs source trust times recency decay, 2 ** (-age / half_life). With ``half_life=None``
-the half-life goes to zero: the most recent row outweighs any number of older ones, so values are
-compared by their latest row and then by its smallest id. That is the rule problem 4 states.
+A vote weighs source trust times recency decay, 2 ** (-age / half_life). Votes are carried as powers of two, so none is lost
+however old it is: each is measured against the strongest of its group and field before they are summed. With
+``half_life_days=None`` the half-life goes to zero. There the power itself is what counts: the latest instant, and at the same
+instant the rank of the source (``rank``, by default the smallest id), as no number of weaker votes adds up to a
+stronger one. That is the rule problem 4 states.
 
 Cases: a null ``id`` belongs to no group. A null ``updated_at`` is older than any other and has no
 recency vote. Of several rows of an id with different roots the latest row's root holds (then the
@@ -80,6 +82,7 @@ def field_winners(
     filled: dict[str, Column],
     trust: Column | None = None,
     half_life_days: float | None = None,
+    rank: Column | None = None,
 ) -> DataFrame:
     """(group_id, field, from_id, updated_at): which row each field of a group's survivor comes from.
 
@@ -89,27 +92,48 @@ def field_winners(
     value = lambda c: F.xxhash64(strip_space(F.lower(F.col(c).cast("string"))))
     entries = F.array(*[F.struct(F.lit(c).alias("field"), F.when(ok, value(c)).alias("value")) for c, ok in filled.items()])
     w = F.lit(1.0) if trust is None else F.coalesce(trust.cast("double"), F.lit(0.0))
+    low_id = -F.col("id") if rank is None else rank
     long = (
         grouped.where(F.col("id").isNotNull())
-        .select("group_id", "id", "updated_at", w.alias("trust"), F.inline(entries))
+        .select("group_id", "id", "updated_at", low_id.alias("rank"), w.alias("trust"), F.inline(entries))
         .where(F.col("value").isNotNull())
         .distinct()
     )
-    best_row = F.max(F.struct("updated_at", (-F.col("id")).alias("id"))).alias("row")
+    row = F.struct("updated_at", (-F.col("id")).alias("id"))
     if half_life_days is None:
-        votes = long.groupBy("group_id", "field", "value").agg(best_row, F.sum("trust").alias("votes"))
-        claim = F.struct("row.updated_at", "row.id", "votes")
+        # The power of a vote is (instant, rank of the source, trust); a sum of powers in the limit is the greatest of them.
+        power = F.struct("updated_at", "rank", "trust")
+        votes = long.groupBy("group_id", "field", "value").agg(F.max(F.struct(power.alias("power"), row.alias("row"))).alias("vote"))
+        claim, best = F.col("vote.power"), F.col("vote.row")
     else:
-        # Ages count from a common instant: a constant factor on every vote changes no order.
-        now = grouped.agg(F.max("updated_at")).collect()[0][0]
-        age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp"))) / 86_400_000_000
-        vote = F.col("trust") * F.coalesce(F.pow(F.lit(2.0), -age / half_life_days), F.lit(0.0))
-        votes = long.groupBy("group_id", "field", "value").agg(best_row, F.sum(vote).alias("votes"))
-        claim = F.struct(F.round("votes", 9).alias("votes"), "row.updated_at", "row.id")
-    won = votes.groupBy("group_id", "field").agg(F.max_by("row", claim).alias("row"))
+        day = F.unix_micros(F.col("updated_at").cast("timestamp")) / 86_400_000_000
+        long = long.withColumn("power", F.when(F.col("trust") > 0, F.log2("trust") + day / half_life_days))
+        # The strongest vote of each field of a group; at most one entry a field.
+        top = long.groupBy("group_id", "field").agg(F.max("power").alias("top"))
+        tops = top.where(F.col("top").isNotNull()).groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "top"))).alias("tops"))
+        vote = F.coalesce(F.pow(F.lit(2.0), F.col("power") - F.try_element_at("tops", F.col("field"))), F.lit(0.0))
+        votes = lookup_join(long, tops, "group_id").groupBy("group_id", "field", "value").agg(F.max(row).alias("row"), F.sum(vote).alias("votes"))
+        claim, best = F.struct(F.round("votes", 9).alias("votes"), F.col("row.updated_at"), F.col("row.id")), F.col("row")
+    won = votes.groupBy("group_id", "field").agg(F.max_by(best, claim).alias("row"))
     return won.select("group_id", "field", (-F.col("row.id")).alias("from_id"), F.col("row.updated_at").alias("updated_at"))
 
 
+def survivor_rows(rows: DataFrame, half_life_days: float | None = None, trust: Column | None = None, rank: Column | None = None) -> DataFrame:
+    """(group_id, n_ids, then for each field struct<from_id, updated_at> or null) of every group of two or more ids: the
+    winners pivoted to one record."""
+    filled = default_filled()
+    grouped = with_group(rows, chain_ends(rows))
+    won = field_winners(grouped, filled, trust, half_life_days, rank)
+    wide = won.groupBy("group_id").pivot("field", list(filled)).agg(F.max(F.struct("from_id", "updated_at")))
+    return groups_of_several(grouped).join(wide, "group_id", "left")
+
+
+def sources(wide: DataFrame) -> DataFrame:
+    """(group_id, field, from_id): where each field of the survivors comes from; fields filled nowhere are left out."""
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}.from_id").alias("from_id")) for c in default_filled()])
+    return wide.select("group_id", F.inline(fields)).where(F.col("from_id").isNotNull())
+
+
 def groups_of_several(grouped: DataFrame) -> DataFrame:
     return (
         grouped.where(F.col("id").isNotNull()).groupBy("group_id")
@@ -118,12 +142,12 @@ def groups_of_several(grouped: DataFrame) -> DataFrame:
     )
 
 
-def survivors(rows: DataFrame, half_life_days: float | None = None, trust: Column | None = None) -> DataFrame:
+def survivors(rows: DataFrame, half_life_days: float | None = None, trust: Column | None = None, rank: Column | None = None) -> DataFrame:
     """One record per group of two or more ids: each field's value and the id it comes from."""
     filled = default_filled()
-    grouped = with_group(rows, chain_ends(rows))
-    groups = groups_of_several(grouped)
-    won = stage(field_winners(grouped, filled, trust, half_life_days).join(groups, "group_id", "left_semi"), "winners")
+    wide = stage(survivor_rows(rows, half_life_days, trust, rank), "winners")
+    listed = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("of")) for c in filled])
+    won = wide.select("group_id", F.inline(listed)).where(F.col("of").isNotNull()).select("group_id", "field", "of.*")
     # Back from (id, updated_at, field) to the value; of exact ties between values the largest is taken.
     picked = F.array(*[F.struct(F.lit(c).alias("field"), F.when(ok, F.col(c)).alias("value")) for c, ok in filled.items()])
     values = (
@@ -132,6 +156,6 @@ def survivors(rows: DataFrame, half_life_days: float | None = None, trust: Colum
         .where(F.col("value").isNotNull())
     )
     long = won.join(values, ["from_id", "field"]).where(F.col("updated_at").eqNullSafe(F.col("at")))
-    wide = long.groupBy("group_id").pivot("field", list(filled)).agg(F.max("value").alias("value"), F.max("from_id").alias("from_id"))
+    made = long.groupBy("group_id").pivot("field", list(filled)).agg(F.max("value").alias("value"), F.max("from_id").alias("from_id"))
     names = {f"{c}_value": c for c in filled} | {f"{c}_from_id": f"{c}_from" for c in filled}
-    return groups.join(wide.withColumnsRenamed(names), "group_id", "left")
+    return wide.select("group_id", "n_ids").join(made.withColumnsRenamed(names), "group_id", "left")
