@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -161,6 +162,7 @@ class Matcher:
             for d in deletions(w, allowed(len(w))):
                 self.near[d].add(w)
         self.longest = max(map(len, self.tokens), default=0)
+        self.sorted = sorted(self.tokens)
         self.automaton = ahocorasick.Automaton()
         for compact in self.names:
             self.automaton.add_word(compact, compact)
@@ -175,8 +177,12 @@ class Matcher:
             if form in self.tokens:
                 out[form] = 1.0
             if cut and len(form) >= 3:
-                for t in self.tokens:
-                    if len(t) > len(form) and t.startswith(form):
+                # Words that begin so lie together in the sorted list.
+                for i in range(bisect_left(self.sorted, form), len(self.sorted)):
+                    t = self.sorted[i]
+                    if not t.startswith(form):
+                        break
+                    if len(t) > len(form):
                         out[t] = max(out.get(t, 0), 0.9)
             root = stem(form)
             if form.isdigit() or len(form) > self.longest + 2:
@@ -188,8 +194,8 @@ class Matcher:
                         out[w] = max(out.get(w, 0), 1 - (k or 0.5 * (form != w)) / len(w))
         return tuple(out.items())
 
-    def _mentions(self, words: list[str]) -> str | None:
-        """The longest name or alias written in the words, as whole words."""
+    def _mentions(self, words: list[str]) -> tuple[int, int, str] | None:
+        """The longest name or alias written in the words, as whole words: (length, minus its place, name)."""
         text, starts, ends = "".join(words), set(), set()
         at = 0
         for w in words:
@@ -202,17 +208,24 @@ class Matcher:
             # Of overlapping matches the longer one wins, of equally long ones the first: so does the longest of all.
             if a in starts and b in ends and (best is None or (len(name), -a) > best[:2]):
                 best = (len(name), -a, name)
-        return best[2] if best else None
+        return best
 
     def find(self, value: str | None, kind: str | None) -> tuple[int, float]:
         """(canon_id, similarity); (0, 0.0) when the value names no entry."""
+        found = self.ranked(value, kind)
+        return found[-1], found[3]
+
+    def ranked(self, value: str | None, kind: str | None) -> tuple[int, int, int, float, bool, int]:
+        """(kind of match, length, minus its place, similarity, whether of the type, canon_id): of answers from several lists the
+        greatest holds, of equal ones the smallest id."""
+        nothing = (0, 0, 0, 0.0, False, 0)
         if not value or not self.names:
-            return 0, 0.0
+            return nothing
         pairs = words_of(value)
         words = [w for w, _ in pairs]
-        hit = self._mentions(words) or self._mentions([latin(w) for w in words])
-        if hit:
-            return self._of_type([hit], kind), 1.0
+        for how, ws in ((4, words), (3, [latin(w) for w in words])):
+            if hit := self._mentions(ws):
+                return how, hit[0], hit[1], 1.0, *self._of_type([hit[2]], kind)
         # Token sets: which words of names are written, each with its best similarity.
         got: dict[str, float] = {}
         joined = [(a + b, False) for (a, _), (b, _) in zip(pairs, pairs[1:]) if a.isalpha() and b.isalpha()]
@@ -232,47 +245,49 @@ class Matcher:
                     best, top = [compact], score
                 elif score == top:
                     best.append(compact)
+        how = 2
         if not best and len(words) > 1:
             # Blanks at wrong places: runs of words against names that share a word.
             runs = {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 2, min(len(words), i + 8) + 1)}
             for compact in near:
                 if len(compact) >= 8 and len(self.names[compact]) > 1 and any(distance(r, compact, 2) <= 2 for r in runs):
                     best.append(compact)
-                    top = 0.5
-        return (self._of_type(best, kind), top) if best else (0, 0.0)
+                    how, top = 1, 0.5
+        return (how, 0, 0, top, *self._of_type(best, kind)) if best else nothing
 
-    def _of_type(self, names: list[str], kind: str | None) -> int:
-        found = [e for n in names for e in self.entries[n]]
-        return min(found, key=lambda e: (e[0] != kind, e[1]))[1]
+    def _of_type(self, names: list[str], kind: str | None) -> tuple[bool, int]:
+        other, cid = min((e[0] != kind, e[1]) for n in names for e in self.entries[n])
+        return not other, cid
 
 
 def find_udf(schema: T.StructType, listed: list[tuple]):
     def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(listed)
         for value, kind in batches:
-            yield pd.DataFrame([matcher.find(a, b) for a, b in zip(value, kind)], columns=schema.names)
+            yield pd.DataFrame([matcher.ranked(a, b) for a, b in zip(value, kind)], columns=schema.names)
 
     return F.pandas_udf(find, schema)
 
 
-def map_values(values: DataFrame, canon: DataFrame) -> DataFrame:
+def map_values(values: DataFrame, canon: DataFrame, block: int = BLOCK) -> DataFrame:
     """(keyword_id, canon_id) for rows (id, value, type); canon_id is 0 where no entry is named.
 
-    The list travels with the function, in blocks of at most ``BLOCK`` entries; each block sees all values and the
-    best answer of the blocks holds.
+    The list travels with the function, in blocks of about ``block`` entries; each block sees all values. Answers of blocks are
+    compared as those inside one list are: by the kind of match, then by length and place or by similarity, then the type, then the id.
     """
     n = canon.count()
-    blocks = max(1, -(-n // BLOCK))
-    schema = T.StructType([T.StructField("canon_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    blocks = max(1, -(-n // block))
+    schema = T.StructType.fromDDL("how int, length int, place int, score double, fits boolean, canon_id long")
     rows = values.where(F.col("id").isNotNull()).select(F.col("id").alias("keyword_id"), "value", "type").distinct()
+    listed = canon.select("canon_id", "name", "type", "aliases").distinct()
     answers = None
     for k in range(blocks):
-        block = canon if blocks == 1 else canon.where(F.pmod(F.xxhash64(F.lower("name")), F.lit(blocks)) == k)
-        listed = [(r["canon_id"], r["name"], r["type"], r["aliases"]) for r in block.select("canon_id", "name", "type", "aliases").distinct().collect()]
-
-        found = rows.select("keyword_id", find_udf(schema, listed)("value", "type").alias("f")).select("keyword_id", "f.*")
+        part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("canon_id"), F.lit(blocks)) == k)
+        entries = [(r["canon_id"], r["name"], r["type"], r["aliases"]) for r in part.collect()]
+        found = rows.select("keyword_id", "value", "type", find_udf(schema, entries)("value", "type").alias("f"))
         answers = found if answers is None else answers.unionByName(found)
     if blocks == 1:
-        return answers.select("keyword_id", "canon_id").distinct()
-    best = F.max(F.struct("score", (-F.col("canon_id")).alias("canon_id")))
-    return answers.groupBy("keyword_id").agg(best.alias("b")).select("keyword_id", (-F.col("b.canon_id")).alias("canon_id"))
+        return answers.select("keyword_id", "f.canon_id").distinct()
+    rank = F.struct("f.how", "f.length", "f.place", "f.score", "f.fits", (-F.col("f.canon_id")).alias("least"))
+    best = answers.groupBy("keyword_id", "value", "type").agg(F.max(rank).alias("b"))
+    return best.select("keyword_id", (-F.col("b.least")).alias("canon_id")).distinct()

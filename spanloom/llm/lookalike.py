@@ -9,6 +9,10 @@ Letter case is neutral in two ways, because look-alikes differ by case: a Cyrill
 B, the small letter like nothing Latin. ``skeletons`` gives the form with case folded first and
 the form with case folded last; two texts look the same when they share either.
 
+The look-alike table has three parts: by rule, what Python's Unicode data decomposes to a form of the same look; the published
+confusables of the session's own ICU library, of these the letters whose prototype is one letter (``published``); and a
+short fixed list, which goes before both where the published prototype confuses what a reader tells apart (capital I and small l).
+
 Cases: null gives null; an empty or blank text has the skeleton ''. Very long texts are processed
 whole. Repeated rows of an id count once.
 """
@@ -17,13 +21,16 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.session import stage
+
 # Characters and the Latin letters or marks they look like.
 LOOKS_LIKE = {
     # Cyrillic small letters
@@ -70,60 +77,96 @@ def table() -> dict[int, str]:
     return out | {ord(a): unicodedata.normalize("NFD", b) for a, b in LOOKS_LIKE.items()}
 
 
-def fold(s: str) -> str:
+def published(spark: SparkSession) -> dict[int, str]:
+    """Character to prototype by the confusables data of the session's ICU library: letters that look like one other letter.
+
+    ASCII characters stay, so do letters that differ by an accent only. Without that library the table is empty.
+    """
+    letters = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c))[0] == "L"]
+    try:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    except TypeError:  # the name is a package, not a class
+        return {}
+    # One call for all: a skeleton is made character by character.
+    prototypes = checker.getSkeleton("\n".join(letters)).split("\n")
+    return {ord(a): b for a, b in zip(letters, prototypes) if len(b) == 1 and b.isalpha() and unicodedata.normalize("NFD", a) != b}
+
+
+def fold(s: str, prototypes: dict[int, str] | None = None) -> str:
     """The skeleton of ``s``, case kept."""
     if s.isascii():
         return s
-    t = unicodedata.normalize("NFD", s).translate(table())
+    t = prototypes or table()
     # A decomposition may hold look-alikes itself; a second pass reaches them.
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", t).translate(table()))
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", unicodedata.normalize("NFD", s).translate(t)).translate(t))
 
 
-@lru_cache(maxsize=65536)
-def skeleton(s: str) -> str:
-    """The comparable form: case folded first, outer white space dropped."""
-    return fold(s.lower()).lower().strip()
+class Skeletons:
+    """Comparable forms of texts, by the table with ``more`` prototypes."""
+
+    def __init__(self, more: dict[int, str] | None = None) -> None:
+        self.prototypes = {**(more or {}), **table()}
+        self.first = lru_cache(maxsize=65536)(self._first)
+
+    def _first(self, s: str) -> str:
+        """The form with case folded first, outer white space dropped."""
+        return fold(s.lower(), self.prototypes).lower().strip()
+
+    def __call__(self, s: str) -> tuple[str, ...]:
+        a, b = self.first(s), fold(s, self.prototypes).lower().strip()
+        return (a,) if a == b else (a, b)
 
 
 def skeletons(s: str) -> tuple[str, ...]:
-    a, b = skeleton(s), fold(s).lower().strip()
-    return (a,) if a == b else (a, b)
+    """The forms by the table without the published part, for tests."""
+    return Skeletons()(s)
 
 
-@F.pandas_udf(T.StringType())
-def skeleton_udf(s: pd.Series) -> pd.Series:
-    return s.map(skeleton, na_action="ignore")
+def skeleton_udf(more: dict[int, str]):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forms = Skeletons(more)
+        for s in batches:
+            yield s.map(forms.first, na_action="ignore")
 
+    return F.pandas_udf(run, T.StringType())
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def skeletons_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: list(skeletons(x)), na_action="ignore")
+
+def skeletons_udf(more: dict[int, str]):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forms = Skeletons(more)
+        for s in batches:
+            yield s.map(lambda x: list(forms(x)), na_action="ignore")
+
+    return F.pandas_udf(run, T.ArrayType(T.StringType()))
 
 
 def lookalike_pairs(rows: DataFrame) -> DataFrame:
     """(tbl, key_a, key_b) of a DataFrame (tbl, key, value): different keys that look the same but
     differ in characters, beyond letter case and outer white space.
 
-    Skeletons and values meet as digests, so long texts are not shuffled. Skeletons under which
-    all values agree are dropped before any pairing. A skeleton shared by very many keys is split
-    by the adaptive skew join; pairs of the remaining classes are the result itself.
+    Skeletons and values meet as digests, so long texts are not shuffled; each text is brought to its forms once. Skeletons under which
+    all values agree are dropped before any pairing. What is paired are the different values under a skeleton, each once however
+    many keys have it; keys come in last, so the only large part is the result itself.
     """
     digest = lambda c: F.sha2(c, 256)
     lowered = F.regexp_replace(F.lower("value"), r"^[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+\z", "")
-    forms = (
+    forms = stage(
         rows.where(F.col("value").isNotNull() & F.col("key").isNotNull())
-        .select("tbl", "key", digest(lowered).alias("plain"), F.explode(skeletons_udf("value")).alias("form"))
-        .select("tbl", "key", "plain", digest(F.col("form")).alias("form"))
-        .distinct()
+        .select("tbl", "key", digest(lowered).alias("plain"), F.explode(skeletons_udf(published(rows.sparkSession))("value")).alias("form"))
+        .select("tbl", "key", "plain", digest(F.col("form")).alias("form")),
+        "forms",
+    )
+    classes = forms.select("tbl", "form", "plain").distinct()
+    mixed = classes.groupBy("tbl", "form").agg(F.min("plain").alias("a"), F.max("plain").alias("b")).where("a < b").select("tbl", "form")
+    classes = classes.join(mixed, ["tbl", "form"], "left_semi")
+    alike = classes.withColumnRenamed("plain", "a").join(classes.withColumnRenamed("plain", "b"), ["tbl", "form"]).where("a < b").select("tbl", "a", "b").distinct()
+    keys = forms.select("tbl", "plain", "key").distinct()
+    met = alike.join(keys.select("tbl", F.col("plain").alias("a"), F.col("key").alias("x")), ["tbl", "a"]).join(
+        keys.select("tbl", F.col("plain").alias("b"), F.col("key").alias("y")), ["tbl", "b"]
     )
-    mixed = forms.groupBy("tbl", "form").agg(F.min("plain").alias("a"), F.max("plain").alias("b")).where("a < b").select("tbl", "form")
-    forms = forms.join(mixed, ["tbl", "form"], "left_semi")
-    a = forms.select("tbl", "form", F.col("key").alias("key_a"), F.col("plain").alias("plain_a"))
-    b = forms.select("tbl", "form", F.col("key").alias("key_b"), F.col("plain").alias("plain_b"))
-    pairs = a.join(b, ["tbl", "form"]).where("key_a < key_b and plain_a <> plain_b")
-    return pairs.select("tbl", "key_a", "key_b").distinct()
+    return met.where("x <> y").select("tbl", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def consistent_form(rows: DataFrame) -> DataFrame:
     """(tbl, key, form): every value in its comparable form; null stays null."""
-    return rows.select("tbl", "key", skeleton_udf("value").alias("form")).distinct()
+    return rows.select("tbl", "key", skeleton_udf(published(rows.sparkSession))("value").alias("form")).distinct()
