@@ -7,8 +7,9 @@ wins. Values without a match go to token-set similarity: an entry is named when
 written in the value, in any order, allowing for spelling errors, word endings, abbreviations with a point and
 Cyrillic spelling of Latin names. Sharing some words only is not naming.
 
-Likely spellings of a word are found by deletion neighbourhoods, not by comparing all pairs; the distance
-(insertion, deletion, change, swap of neighbours) is then checked exactly.
+Likely spellings of a word are found by sets of letters: an error adds or removes one letter of the set at most, or both, so words whose sets
+differ in more are passed over in one vector step; the distance
+(insertion, deletion, change, swap of neighbours) of the rest is then checked exactly.
 
 Cases: a null or empty value names no entry (0). Of entries with the same name the one of the value's type
 is taken, else the one with the smallest id. Of equally similar entries likewise. Entries with a null name
@@ -24,8 +25,8 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,11 +127,12 @@ def stem(word: str) -> str:
     return word
 
 
-def deletions(word: str, most: int) -> Iterable[str]:
-    yield word
-    for k in range(1, min(most, len(word) - 1) + 1):
-        for at in combinations(range(len(word)), k):
-            yield "".join(c for i, c in enumerate(word) if i not in at)
+def letter_set(word: str) -> int:
+    """The letters of a word as bits of one number (several letters may share a bit)."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
 
 
 class Matcher:
@@ -142,7 +144,6 @@ class Matcher:
         self.entries = defaultdict(list)  # compact name -> (type, id)
         self.names: dict[str, tuple[str, ...]] = {}
         self.tokens: dict[str, set[str]] = defaultdict(set)  # word of a name -> compact names with it
-        self.near: dict[str, set[str]] = defaultdict(set)  # deletion -> words of names
         for cid, name, kind, aliases in entries:
             for i, n in enumerate([name, *(aliases if aliases is not None else [])]):
                 words = tuple(w for w, _ in words_of(n or ""))
@@ -158,9 +159,10 @@ class Matcher:
         self.stems: dict[str, set[str]] = defaultdict(set)  # stem -> words of names
         for w in self.tokens:
             self.stems[stem(w)].add(w)
-        for w in self.stems:
-            for d in deletions(w, allowed(len(w))):
-                self.near[d].add(w)
+        self.roots = [r for r in self.stems if not r.isdigit()]
+        self.letters = np.array([letter_set(r) for r in self.roots], np.uint64)
+        self.sizes = np.array([len(r) for r in self.roots], np.int64)
+        self.errors = np.array([allowed(len(r)) for r in self.roots], np.int64)
         self.longest = max(map(len, self.tokens), default=0)
         self.sorted = sorted(self.tokens)
         self.automaton = ahocorasick.Automaton()
@@ -187,9 +189,12 @@ class Matcher:
             root = stem(form)
             if form.isdigit() or len(form) > self.longest + 2:
                 continue
-            for t in {t for d in deletions(root, 2) for t in self.near.get(d, ())}:
+            close = np.bitwise_count(self.letters ^ np.uint64(letter_set(root))) <= 2 * self.errors
+            close &= np.abs(self.sizes - len(root)) <= self.errors
+            for i in np.flatnonzero(close).tolist():
+                t = self.roots[i]
                 k = distance(root, t, allowed(len(t)))
-                if k <= allowed(len(t)) and not t.isdigit():
+                if k <= allowed(len(t)):
                     for w in self.stems[t]:
                         out[w] = max(out.get(w, 0), 1 - (k or 0.5 * (form != w)) / len(w))
         return tuple(out.items())

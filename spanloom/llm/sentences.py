@@ -20,8 +20,8 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
+from functools import cache, lru_cache
 
 import pandas as pd
 import regex
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.lookalike import NO_WIDTH, fold
+from spanloom.plans.skew import lookup_join
 from spanloom.session import stage
 
 #: Least score of an abbreviation, least ratio of a starter or collocation (99.5 % of chi squared), and the share
@@ -59,7 +60,9 @@ PAIRS = {"(": ")", "[": "]", "«": "»", "“": "”", "„": "“”", "「": "
 
 _BULLET = re.compile(r"[ \t]*(?:[-*•–—·▪◦‣●■]|\d{1,3}[.)]|[^\W\d_][)])[ \t]+(?=\S)")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.'’\-][\p{L}\p{M}\p{N}]+)*")
-_LAST = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.'’][\p{L}\p{M}\p{N}]+)*\Z")
+# Read backwards from where it ends, so that a long block is not read anew for every period.
+_LAST = regex.compile(r"(?r)[\p{L}\p{M}\p{N}]+(?:[.'’][\p{L}\p{M}\p{N}]+)*")
+_BLANKS = re.compile(r"\s*")
 _GLUED = regex.compile(r"(?<=[\p{L}\p{M}\p{N}]{2})\.(?=\p{Lu}[\p{L}\p{M}])")
 _ZERO = {c for a, b in NO_WIDTH for c in range(a, min(b, 0xFFFF) + 1)}
 
@@ -73,23 +76,28 @@ def word_type(w: str) -> str:
     return w.lower() if w.isascii() else fold(fold(w).lower()).lower()
 
 
-def clean(text: str) -> tuple[str, list[int]]:
+@cache
+def _plainer() -> tuple[dict[int, str | None], re.Pattern]:
+    """What ``clean`` does to characters, and a pattern of the characters of no width."""
+    put: dict[int, str | None] = {0x9: " ", 0xD: " "}
+    for o in range(0x80, 0x10000):
+        c = chr(o)
+        if o in _ZERO:
+            put[o] = None
+        elif c.isspace():
+            put[o] = " "
+        elif "０" <= c <= "ｚ" and (d := unicodedata.normalize("NFKC", c)).isalnum():
+            put[o] = d
+    return put, re.compile("[" + "".join(map(re.escape, map(chr, sorted(_ZERO)))) + "]")
+
+
+def clean(text: str) -> tuple[str, Sequence[int]]:
     """The text without characters of no width, with plain blanks, and the offset of each character."""
-    out, at = [], []
-    for i, c in enumerate(text):
-        if not c.isascii():
-            if ord(c) in _ZERO:
-                continue
-            if c.isspace():
-                c = " "
-            elif "０" <= c <= "ｚ":
-                d = unicodedata.normalize("NFKC", c)
-                c = d if d.isalnum() else c
-        elif c == "\t" or c == "\r":
-            c = " "
-        out.append(c)
-        at.append(i)
-    return "".join(out), at
+    put, no_width = _plainer()
+    s = text.translate(put)
+    if not no_width.search(text):
+        return s, range(len(text))
+    return s, [i for i, c in enumerate(text) if ord(c) not in _ZERO]
 
 
 def script_of(c: str) -> str:
@@ -110,21 +118,34 @@ _SCRIPTS = [
 ]
 
 
+@lru_cache(maxsize=65536)
+def _scripts(w: str) -> tuple[tuple[str, int], ...]:
+    """Letters of a word by script. A word of several scripts that look alike has none."""
+    n = Counter(map(script_of, w))
+    return () if len(n) > 1 and "latn" in n and ("cyrl" in n or "el" in n) else tuple(n.items())
+
+
+@lru_cache(maxsize=65536)
+def _small(w: str) -> str:
+    return w.lower() if w.isascii() else fold(w).lower()
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def language(text: str) -> str:
     """A script, or for Latin script the language whose function words are most frequent."""
     n: Counter[str] = Counter()
-    # Words of one script count; words that mix scripts hold look-alikes.
-    for w in re.findall(r"[^\W\d_]+", text):
-        s = {script_of(c) for c in w}
-        if len(s) == 1 or "latn" not in s or "cyrl" not in s and "el" not in s:
-            for c in w:
-                n[script_of(c)] += 1
+    found = _LETTERS.findall(text)
+    for w in found:
+        for script, k in _scripts(w):
+            n[script] += k
     own = {k: v for k, v in n.items() if k not in ("latn", "other")}
     if own and (sum(own.values()) >= 0.15 * sum(n.values())):
         if own.get("ja"):
             return "ja"
         return max(own, key=lambda k: (own[k], k))
-    words = [fold(w).lower() if not w.isascii() else w.lower() for w in re.findall(r"[^\W\d_]+", text)]
+    words = list(map(_small, found))
     votes = {k: sum(w in f for w in words) for k, f in _FUNCTION.items()}
     best = max(votes, key=lambda k: (votes[k], k == "en"))
     return best if votes[best] else "en"
@@ -146,12 +167,13 @@ def observe(text: str) -> tuple[str, list[tuple[str, bool, bool]], list[tuple[st
         period = s[m.end() : m.end() + 1] == "." and s[m.end() + 1 : m.end() + 2] != "."
         words.append((w, period, sure))
         if period:
-            rest = s[m.end() + 1 :]
-            if not rest.strip() or "\n" in rest[: len(rest) - len(rest.lstrip())]:
+            after = m.end() + 1
+            at = _BLANKS.match(s, after).end()
+            if at == len(s) or "\n" in s[after:at]:
                 pairs.append((w, "", "end"))
-            elif rest[0] == " " and k + 1 < len(tokens):
+            elif s[after] == " " and k + 1 < len(tokens):
                 t = tokens[k + 1][0]
-                first = rest.lstrip()[0]
+                first = s[at]
                 up = (t[0].isupper() or first in OPENERS + "\"¿¡") and not first.islower() and first not in ",;:-—–"
                 pairs.append((w, word_type(t), "up" if up else "low"))
     return language(s), words, pairs
@@ -218,16 +240,20 @@ def learn(observed: DataFrame) -> tuple[DataFrame, DataFrame]:
         "lang", "w", (F.col("abbr") & (F.coalesce("final", F.lit(0.0)) < LAST_WORD)).alias("abbr"), "start"
     ).where("abbr or start")
     number = pairs.where("w = '#' and kind = 'up'").join(types.where("not start").select("lang", F.col("w").alias("v"), F.col("n").alias("n_v"), "all"), ["lang", "v"])
-    number = number.join(types.where("w = '#'").select("lang", F.col("p").alias("n_w")), "lang")
+    number = number.join(F.broadcast(types.where("w = '#'").select("lang", F.col("p").alias("n_w"))), "lang")  # one row a language
     ordinal = number.where((F.col("k") / F.col("n_v") > F.col("n_w") / F.col("all")) & (_ratio(F.col("n_w"), F.col("n_v"), F.col("k"), F.col("all")) >= RATIO))
     return learned, ordinal.select("lang", "v").distinct()
 
 
+_PAIRED = re.compile("[\n\"" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]")
+
+
 def _ranges(s: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """(opening, closing) places of quotations and brackets, outermost only, closed within the same paragraph."""
     out, stack, straight = [], [], -1
     blocked = lambda i: any(a <= i < b for a, b in spans)
-    for i, c in enumerate(s):
+    for m in _PAIRED.finditer(s):
+        i, c = m.start(), m[0]
         if c == "\n" and s[i : i + 2] == "\n\n":
             stack, straight = [], -1
         elif c == '"':
@@ -318,6 +344,9 @@ def split(text: str, spans: list[tuple[int, int]], lang: str, abbr: set[str], st
 _CLUSTER = re.compile(rf"[.!?…{OWN_MARKS};；;]+(?:[ ]?[»”’」』】）)\]\"'“]+)?[.!?…]*")
 
 
+_LEADING = re.compile("[" + re.escape(OPENERS + "\"'¿¡ -—–*•") + "]*")
+
+
 def _prose(s: str, a: int, b: int, inner: list, ranges: list, lang: str, abbr: set, start: set, ordinal: set) -> Iterator[int]:
     caseless = lang in ("arab", "deva", "indic", "thai", "lao", "hani", "ja", "ko", "hy", "ethi", "mymr", "khmr", "he")
     opening = [x for x, _ in ranges]
@@ -351,19 +380,17 @@ def _prose(s: str, a: int, b: int, inner: list, ranges: list, lang: str, abbr: s
                     marks = s[x:y].rstrip()
                     break
         own = any(c in OWN_MARKS for c in core)
-        rest = s[y:b]
-        blank = len(rest) - len(rest.lstrip())
-        rest = rest.lstrip()
-        if not rest:
+        nxt = _BLANKS.match(s, y, b).end()
+        blank = nxt - y
+        if nxt == b:
             continue
-        nxt = y + blank
-        first = rest[0]
-        lead = rest.lstrip(OPENERS + "\"'¿¡ -—–*•")
-        word = (_TOKEN.match(lead) or [""])[0]
+        first = s[nxt]
+        lead = _LEADING.match(s, nxt, b).end()
+        word = (_TOKEN.match(s, lead, b) or [""])[0]
         kind = word_type(word) if word else ""
         upper = bool(word) and (word[0].isupper() or (not word[0].islower() and word[0].isalpha()))
         opener = first in OPENERS or first in "\"¿¡"
-        if first in ",;:，；：、—–" or (first == "-" and rest[1:2] == " "):
+        if first in ",;:，；：、—–" or (first == "-" and s[nxt + 1 : min(nxt + 2, b)] == " "):
             continue
         if first in CLOSERS and not opener:
             continue
@@ -394,7 +421,7 @@ def _prose(s: str, a: int, b: int, inner: list, ranges: list, lang: str, abbr: s
             if (upper or opener or first.isdigit()) and blank or kind in start:
                 yield nxt
             continue
-        last = _LAST.search(s, a, x)
+        last = _LAST.match(s, a, x)
         before = last[0] if last else ""
         if not before:
             if x > a and s[x - 1] in CLOSERS + "+#%€$°²" and (upper or opener) and (blank or kind in start):
@@ -403,7 +430,7 @@ def _prose(s: str, a: int, b: int, inner: list, ranges: list, lang: str, abbr: s
                 yield nxt
             continue
         p = word_type(before)
-        strong = "¿" in rest[: len(rest) - len(lead)] or "¡" in rest[: len(rest) - len(lead)]
+        strong = "¿" in s[nxt:lead] or "¡" in s[nxt:lead]
         if not blank:
             # A missing blank after the period, or a name with a point inside.
             if upper and not first.isdigit() and len(word) > 1 and kind in start and p not in abbr and len(before) > 1:
@@ -457,11 +484,13 @@ def sentences(rows: DataFrame) -> DataFrame:
     learned, ordinal = learn(seen)
     learned = stage(learned, "learned")
     # To each text the learned words around its periods and marks.
-    has = seen.select("row", "lang", F.explode(F.array_distinct(F.transform("words", lambda w: w["w"]))).alias("w"))
-    own = has.join(learned, ["lang", "w"]).groupBy("row").agg(
+    key = F.concat_ws("\n", "lang", "w").alias("key")
+    has = seen.select("row", "lang", F.explode(F.array_distinct(F.transform("words", lambda w: w["w"]))).alias("w")).select("row", key)
+    # Frequent words are in a large share of the texts; they meet the few learned rows of theirs by broadcast.
+    own = lookup_join(has, learned.select(key, "w", "abbr", "start"), "key", "inner").groupBy("row").agg(
         F.collect_list(F.when(F.col("abbr"), F.col("w"))).alias("abbr"), F.collect_list(F.when(F.col("start"), F.col("w"))).alias("start")
     )
-    nums = seen.select("row", "lang", F.inline("pairs")).where("w = '#' and kind = 'up'").join(ordinal, ["lang", "v"]).groupBy("row").agg(F.collect_set("v").alias("ordinal"))
+    nums = seen.select("row", "lang", F.inline("pairs")).where("w = '#' and kind = 'up'").join(ordinal, ["lang", "v"], "left_semi").groupBy("row").agg(F.collect_set("v").alias("ordinal"))
     ready = seen.select("id", "row", "text", "spans", "lang").join(own, "row", "left").join(nums, "row", "left")
     found = ready.select("id", F.explode(split_udf("text", F.col("spans.a"), F.col("spans.b"), "lang", "abbr", "start", "ordinal")).alias("s"))
     return found.select(F.col("id").alias("datum_id"), F.col("s.start").alias("sent_start"), F.col("s.end").alias("sent_end")).distinct()
