@@ -92,6 +92,14 @@ def distance(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbours; ``most`` + 1 when larger."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # What both begin and end with costs nothing.
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    k = 0
+    while k < n - i and a[-1 - k] == b[-1 - k]:
+        k += 1
+    a, b = a[i : len(a) - k], b[i : len(b) - k]
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         older, before, row = before, row, [i]

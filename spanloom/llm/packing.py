@@ -3,7 +3,11 @@
 Texts are spread by a hash of their id over blocks of about ``BLOCK`` texts; each block is packed by itself, so no task
 grows with the data and each block leaves at most a few containers underfull. In a block, best-fit decreasing
 gives a first packing, then a swap-based local search empties the least filled containers: it moves one item, exchanges
-one for one, or two for one, where that raises the sum of squared fills, preferring exchanges that fill a container exactly.
+one for one, or two for one, where that raises the sum of squared fills. Exchanges that fill a container exactly are tried
+first, over all items and pairs of items; then the exchange of one for one that fills another container most.
+
+Two parameters bound the time of the search, not what is packed: ``block`` and ``failures``. The README gives the containers used
+against the least that could do.
 
 A text longer than the capacity is cut into pieces of the full capacity and a rest; no other text is split.
 
@@ -100,14 +104,31 @@ def _lower(bins: Bins, d: int) -> bool:
                     bins.change(d, take=[i], put=[(j, s - r)])
                     bins.change(b, take=[j], put=[(i, s)])
                     return True
-    for x, (i, s) in enumerate(mine[:12]):  # two for one
-        for j, t in mine[x + 1 : 12]:
+    # Two for one, filling the other exactly: pairs of items of each sum of sizes that occurs, one pair a sum.
+    sums: dict[int, tuple[int, int, int]] = {}
+    sizes = list(dict.fromkeys(s for _, s in mine))
+    of = {s: [i for i, x in mine if x == s][:2] for s in sizes}
+    for x, s in enumerate(sizes):
+        for t in sizes[x:]:
+            if t != s or len(of[s]) > 1:
+                sums.setdefault(s + t, (of[s][0], of[t][t == s], s))
+    for both, (i, j, s) in sums.items():
+        for r in rooms:
+            for b, k in bins.having.get((r, both - r), ()):
+                if b != d and bins.fill[b] + r > bins.fill[d]:
+                    bins.change(d, take=[i, j], put=[(k, both - r)])
+                    bins.change(b, take=[k], put=[(i, s), (j, both - s)])
+                    return True
+    # One for one that leaves some room: the largest gain first.
+    for gain in range(max(rooms, default=1) - 1, 0, -1):
+        for i, s in mine:
             for r in rooms:
-                for b, k in bins.having.get((r, s + t - r), ()):
-                    if b != d and bins.fill[b] + r > bins.fill[d]:
-                        bins.change(d, take=[i, j], put=[(k, s + t - r)])
-                        bins.change(b, take=[k], put=[(i, s), (j, t)])
-                        return True
+                if r > gain:
+                    for b, k in bins.having.get((r, s - gain), ()):
+                        if b != d and bins.fill[b] + gain > bins.fill[d]:
+                            bins.change(d, take=[i], put=[(k, s - gain)])
+                            bins.change(b, take=[k], put=[(i, s)])
+                            return True
     return False
 
 
