@@ -124,6 +124,7 @@ class Encoder:
         self.db.register("merge_table", self.vocab.merge_table())
         self.db.execute("create table merges as select * from merge_table")
         self.known: dict[str, bytes] = {}
+        self.spelled = False
 
     def learn(self, words: Iterable[str]) -> None:
         pack = lambda ids: np.asarray(ids, np.int32).tobytes()
@@ -175,11 +176,22 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         self.learn({w for ws in words for w in ws}.difference(self.known))
-        n = {w: len(b) // 4 for w, b in self.known.items()}
-        return [sum(map(n.__getitem__, ws)) for ws in words]
-
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.vocab.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        known = self.known.__getitem__
+        return [sum(map(len, map(known, ws))) // 4 for ws in words]
+
+    def decode(self, lists: pa.ListArray) -> list[str]:
+        """The text of each list of ids: an ordered aggregation of the bytes of its tokens."""
+        if not self.spelled:
+            pieces = pa.table({"tok": pa.array(self.vocab.bytes_of, pa.int32()), "spelling": pa.array([b.hex() for b in self.vocab.bytes_of.values()])})
+            self.db.register("piece_table", pieces)
+            self.db.execute("create table pieces as select * from piece_table")
+            self.spelled = True
+        n = np.diff(np.asarray(lists.offsets))
+        rows = pa.table({"doc": np.repeat(np.arange(len(n)), n), "pos": np.arange(int(n.sum())), "tok": lists.flatten()})
+        self.db.register("tokens", rows)
+        got = dict(self.db.sql("select doc, string_agg(spelling, '' order by pos) from tokens join pieces using (tok) group by doc").fetchall())
+        self.db.unregister("tokens")
+        return [bytes.fromhex(got.get(i, "")).decode("utf-8", "replace") for i in range(len(n))]
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,8 +229,8 @@ def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
         enc = Encoder(path)
         for b in batches:
             texts = b.column(1).to_pylist()
-            ids = enc.encode(texts).to_pylist()
-            same = [enc.decode(i) == (t or "") for i, t in zip(ids, texts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, ids), pa.int32()), pa.array(same)], names=["doc_id", "n_tokens", "same"])
+            ids = enc.encode(texts)
+            same = [back == (t or "") for back, t in zip(enc.decode(ids), texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(np.asarray(ids.offsets)), pa.int32()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "same"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, same boolean")

@@ -96,6 +96,7 @@ def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    # A document listed twice counts once.
     return p9_subjects(spark, d).select("doc_id", "subject").distinct()
 
 
