@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,10 @@ from spanloom.llm import bpe, canonical, history, lookalike, packing, sentences,
 from spanloom.session import table
 
 
+#: Batches of a backlog probed at once.
+WAVE = 5
+
+
 def p1_terms(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nav_document").agg(F.count_distinct("id")).collect()[0][0]
     return term_frequency.term_frequency(table(spark, d, "keyword"), table(spark, d, "document_keyword"), n)
@@ -21,14 +23,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_repeats(spark: SparkSession, d: str) -> DataFrame:
-    """The index is built from the documents, then each batch is probed and its accepted rows are appended, in order of batch_no."""
+    """The index is built from the documents; then the waiting batches are probed in order of batch_no, and what is accepted is appended.
+
+    A probe decides several batches as if they came one at a time, so a backlog is taken in waves of ``WAVE`` batches: the index is
+    probed and appended to once a wave.
+    """
     index = history.HistoryIndex(spark)
     index.add_documents(table(spark, d, "nav_document"))
     batches = table(spark, d, "document_batch")
     # One number a delivery; rows without a number come first.
     numbers = sorted((r[0] for r in batches.select("batch_no").distinct().collect()), key=lambda n: (n is not None, n))
-    found = [index.probe(batches.where(F.col("batch_no").eqNullSafe(F.lit(n))), keep=True) for n in numbers]
-    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "id long, repeats long, kept double"))
+    found = spark.createDataFrame([], "id long, repeats long, kept double")
+    for k in range(0, len(numbers), WAVE):
+        wave = numbers[k : k + WAVE]
+        rows = batches.where(F.col("batch_no").isin(wave) | (F.lit(None in wave) & F.col("batch_no").isNull()))
+        found = found.unionByName(index.probe(rows, keep=True))
+        # Handles of finished jobs are let go, so that Spark frees their broadcasts and shuffle files.
+        spark._jvm.System.gc()
+    return found
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
