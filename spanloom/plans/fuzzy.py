@@ -4,12 +4,21 @@ A text equal to an earlier one is linked to every earlier equal one. A new long
 best match among earlier long texts if the score is high enough. The best match is the one of least edit distance among the
 ``TOP`` texts of most similar letter triples.
 
-Every distinct text is handled once, at its first place. Candidates come from an equi-join on triples, rarest first: texts whose
-triple cosine could reach the cut-off share a rare triple (a prefix filter on the counts), so common triples are not joined.
+Every distinct text is handled once, at its first place. Candidates are complete. An edit changes at most ``GRAM`` of a text's triples, so two texts
+within k edits share all but ``GRAM`` k of the triples of the longer one (counted with repetition). Hence the ``GRAM`` k + 1 rarest triples of
+each hold a common one: these meet in an equi-join, together with the length, which differs by k at most. Sums of minima over
+buckets of triples bound the number shared from above and drop most of what met; the rest is compared whole.
+
+The ``TOP`` texts are those of the most similar triples among the texts that share enough of them to be within the cut-off.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +29,10 @@ CUTOFF = 0.95
 MIN_LENGTH = 100
 TOP = 50
 GRAM = 3
+#: Triples whose frequency orders them, the most frequent ones; all others count as rarer. The order decides how much meets, not the result.
+RANKED = 65_536
+BUCKETS = 64
+_SLACK = 1e-9
 
 
 def _padded(text: Column) -> Column:
@@ -42,30 +55,111 @@ def matches(texts: DataFrame, cutoff: float = CUTOFF, min_length: int = MIN_LENG
     same = long.groupBy("low").agg(F.min("first").alias("earliest"), F.count("*").alias("n"))
     by_case = long.join(same.where("n > 1"), "low").where("earliest < first").select("first", F.col("earliest").alias("other"), F.lit(1.0).alias("score"))
     only = long.join(by_case.select("first"), "first", "left_anti")
-    tf = stage(only.select("first", F.explode(grams(F.col("text"))).alias("g")).groupBy("first", "g").agg(F.count("*").alias("c")), "grams")
-    df = tf.groupBy("g").agg(F.count("*").alias("df"))
-    doc = Window.partitionBy("first")
-    x = tf.join(df, "g").withColumn("v", F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(doc)))
-    before = F.coalesce(F.sum(F.col("v") * F.col("v")).over(doc.orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    x = stage(x.withColumn("before", before), "grams")
-    # An edit distance within the cut-off changes at most GRAM triples per edit, which bounds the cosine from below.
-    least = max(0.0, 1 - (1 - cutoff) * GRAM * 2)
-    prefix = x.where((F.col("before") <= 1 - least * least + 1e-9) & (F.col("df") > 1)).select("g", "first")
-    met = prefix.join(prefix.withColumnRenamed("first", "other"), "g").where("other < first").select("first", "other").distinct()
-    dots = (
-        met.join(x.select("first", "g", "v"), "first")
-        .join(x.select(F.col("first").alias("other"), "g", F.col("v").alias("w")), ["other", "g"])
-        .groupBy("first", "other")
-        .agg(F.round(F.sum(F.col("v") * F.col("w")), 9).alias("cosine"))
+    only = only.select("first", "low", _padded(F.col("text")).alias("p"))
+    counts = only.select("p").mapInArrow(_gram_counts, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    ranked = [r["g"] for r in counts.orderBy(F.desc("n"), "g").limit(RANKED).collect()]
+    kind = "first long, n int, size int, counts array<int>, prefix array<long>"
+    features = stage(only.select("first", F.length("low").alias("n"), "p").mapInArrow(_features(ranked, cutoff), kind), "features")
+    band = F.floor(F.log("n") / math.log(1 / cutoff)) if cutoff < 1 else F.col("n")
+    rare = features.select("first", "n", F.explode("prefix").alias("f"), band.cast("long").alias("band"))
+    left = rare.select("f", F.col("band").alias("at"), F.col("first").alias("x"), F.col("n").alias("nx"), F.col("band").alias("bx"))
+    # Lengths within the cut-off lie in one band or in neighbouring ones.
+    right = rare.select("f", F.explode(F.array("band", F.col("band") + 1)).alias("at"), F.col("first").alias("y"), F.col("n").alias("ny"), F.col("band").alias("by"))
+    edits = lambda n: F.floor((1 - cutoff) * n + _SLACK)
+    met = (
+        left.join(right, ["f", "at"])
+        .where("bx <> by or x > y")
+        .where(F.abs(F.col("nx") - F.col("ny")) <= edits(F.greatest("nx", "ny")))
+        .select(F.greatest("x", "y").alias("first"), F.least("x", "y").alias("other"))
+        .where("first <> other")
+        .distinct()
     )
-    near = dots.withColumn("k", F.row_number().over(Window.partitionBy("first").orderBy(F.desc("cosine"), "other"))).where(F.col("k") <= TOP)
-    low = long.select("first", "low")
-    scored = near.join(low, "first").join(low.select(F.col("first").alias("other"), F.col("low").alias("low_other")), "other")
-    score = 1 - F.levenshtein("low", "low_other") / F.greatest(F.length("low"), F.length("low_other"))
-    best = scored.select("first", "other", F.round(score, 9).alias("score")).withColumn("r", F.rank().over(Window.partitionBy("first").orderBy(F.desc("score"))))
+    side = lambda i, key: features.select(F.col("first").alias(key), *[F.col(c).alias(f"{c}_{i}") for c in ("n", "size", "counts")])
+    shared = F.aggregate(F.zip_with("counts_a", "counts_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
+    needed = F.greatest(F.greatest("size_a", "size_b") - GRAM * edits(F.greatest("n_a", "n_b")), F.lit(1))
+    close = met.join(side("a", "first"), "first").join(side("b", "other"), "other").where(shared >= needed).select("first", "other")
+    texts_of = lambda i, key: only.select(F.col("first").alias(key), F.col("low").alias(f"low_{i}"), F.col("p").alias(f"p_{i}"))
+    whole = close.join(texts_of("a", "first"), "first").join(texts_of("b", "other"), "other").select("first", "other", "low_a", "low_b", "p_a", "p_b")
+    compared = whole.mapInArrow(_cosines(cutoff), "first long, other long, low_a string, low_b string, cosine double")
+    near = compared.withColumn("k", F.row_number().over(Window.partitionBy("first").orderBy(F.desc("cosine"), "other"))).where(F.col("k") <= TOP)
+    # The distance is computed within the band that the cut-off leaves.
+    distance = F.expr(f"levenshtein(low_a, low_b, cast(floor({1 - cutoff!r} * greatest(length(low_a), length(low_b)) + {_SLACK!r}) as int))")
+    scored = near.select("first", "other", distance.alias("d"), F.greatest(F.length("low_a"), F.length("low_b")).alias("n")).where("d >= 0")
+    best = scored.select("first", "other", F.round(1 - F.col("d") / F.col("n"), 9).alias("score")).withColumn("r", F.rank().over(Window.partitionBy("first").orderBy(F.desc("score"))))
     return best.where((F.col("r") == 1) & (F.col("score") >= cutoff)).select("first", "other", "score").unionByName(by_case)
 
 
+def _codes(text: str) -> np.ndarray:
+    """The triples of a padded text as numbers, in order of number."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    c = np.concatenate([c, np.zeros(max(0, GRAM - len(c)), np.int64)])
+    return np.sort((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        if texts:
+            g, n = np.unique(np.concatenate([_codes(t) for t in texts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], names=["g", "n"])
+
+
+def _features(ranked: list[int], cutoff: float):
+    """(first, n, number of triples, counts by bucket, hashes of the rarest triples) of texts (first, n, padded text)."""
+    known = np.array(ranked, np.int64)
+    by_code = np.argsort(known, kind="stable")
+    sorted_codes = known[by_code]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, counts, prefix = [], [], []
+            for n, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                g = _codes(text)
+                at = np.arange(len(g))
+                new = np.r_[True, g[1:] != g[:-1]]
+                repeat = at - np.maximum.accumulate(np.where(new, at, 0))
+                mixed = _mixed(g)
+                # Rarest first: what is not listed, then from the end of the list.
+                i = np.minimum(np.searchsorted(sorted_codes, g), len(sorted_codes) - 1)
+                rank = np.where(sorted_codes[i] == g, by_code[i], len(known))
+                order = np.lexsort((repeat, mixed, -rank))
+                keep = GRAM * math.floor((1 - cutoff) * n / cutoff + _SLACK) + 1
+                size.append(len(g))
+                counts.append(np.bincount(mixed % BUCKETS, minlength=BUCKETS).astype(np.int32))
+                prefix.append(_mixed(mixed[order[:keep]] + repeat[order[:keep]]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(counts, pa.list_(pa.int32())), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["first", "n", "size", "counts", "prefix"],
+            )
+
+    return run
+
+
+def _cosines(cutoff: float):
+    """(first, other, texts, cosine of the triple counts) of pairs that share enough triples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cosine, keep = [], []
+            for a, b, p, q in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                x, nx = np.unique(_codes(p), return_counts=True)
+                y, ny = np.unique(_codes(q), return_counts=True)
+                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                needed = max(1, max(nx.sum(), ny.sum()) - GRAM * math.floor((1 - cutoff) * max(len(a), len(b)) + _SLACK))
+                keep.append(bool(np.minimum(nx[i], ny[j]).sum() >= needed))
+                cosine.append(round(float(nx[i] @ ny[j]) / math.sqrt(float(nx @ nx) * float(ny @ ny)), 9))
+            cols = [*[batch.column(i) for i in range(4)], pa.array(cosine, pa.float64())]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in cols], names=["first", "other", "low_a", "low_b", "cosine"])
+
+    return run
+
+
 def canonical(rows: DataFrame, cutoff: float = CUTOFF, min_length: int = MIN_LENGTH, key: str = "idx", text: str = "text") -> DataFrame:
     """(key, canonical): the smallest earlier key a text is linked to, for texts linked to an earlier one; one hop, not further.
 
