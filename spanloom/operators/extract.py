@@ -52,17 +52,18 @@ def extract(texts: DataFrame, load: Callable[[], Tagger], with_bio: bool = True)
     """
     tok = texts.select("id", "text", tokenized(F.col("text")).alias("_tok"))
     words = F.transform("_tok", lambda s: F.transform(s, lambda t: t["token"]))
-    tagged = tok.withColumn("_tags", tag_with(load)(words))
+    # Written once, so that a model runs once however often its result is read.
+    tagged = stage(tok.withColumn("_tags", tag_with(load)(words)), "tagged")
 
-    def decode(s: Column, i: Column) -> Column:
-        tags = F.coalesce(F.get(F.col("_tags"), i), F.array().cast("array<string>"))
-        n = F.least(F.size(s), F.size(tags))
+    def decode(z: Column) -> Column:
+        none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+        s, tags = none(z["_tok"], "array<struct<token:string,offset:int>>"), none(z["_tags"], "array<string>")
         zipped = F.transform(
-            F.slice(s, F.lit(1), n), lambda t, j: F.struct(t["token"].alias("token"), F.get(tags, j).alias("tag"), t["offset"].alias("offset"))
+            F.slice(s, F.lit(1), F.least(F.size(s), F.size(tags))), lambda t, j: F.struct(t["token"].alias("token"), F.get(tags, j).alias("tag"), t["offset"].alias("offset"))
         )
         return spans.decode_tags(zipped, with_bio)
 
-    found = F.coalesce(F.flatten(F.transform("_tok", decode)), F.array().cast(SPANS))
+    found = F.coalesce(F.flatten(F.transform(F.arrays_zip("_tok", "_tags"), decode)), F.array().cast(SPANS))
     return _as_extracted(tagged.select("id", "text", found.alias("entities")))
 
 
@@ -152,7 +153,6 @@ def extract_documents(
     docs = store.documents
     todo = documents.worklist(docs, update, kind) if needle is None else documents.by_needle(docs, needle).where(documents.needs_update(update))
     texts = todo.select("id", F.coalesce("text", F.lit("")).alias("text"))
-    found = extract(texts, load) if load else extract_by_dictionary(texts, store.keywords)
-    # Written once: the merge and the three tables of the result read it several times, and a model must not run for each.
-    found = stage(found, "found")
+    found = extract(texts, load) if load else stage(extract_by_dictionary(texts, store.keywords), "found")
+    # Written once: the three tables of the result read it several times.
     return save(store, stage(merge_with_saved(found, store), "merged"), as_of)

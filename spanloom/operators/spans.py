@@ -359,28 +359,53 @@ def cast_tokens(text: Column, entities: Column) -> Column:
     return F.aggregate(spans_or_none(entities), text, step)
 
 
-def trim_span_start(text: Column, e: Column, lemmas: Column | None = None) -> Column:
+def align_analysis(token: Column, parts: Column) -> Column:
+    """The pieces (text, lemma) of an analysis that make up the token: those that begin inside it, the last cut to its length and
+    without a line break at its end. Analysers add a break, and now and then a character."""
+    none = F.array().cast("array<struct<text:string,lemma:string>>")
+    piece = lambda t, x: F.struct(t.alias("text"), x["lemma"].alias("lemma"))
+
+    def step(s: Column, x: Column) -> Column:
+        inside = s["at"] < F.length(token)
+        at = s["at"] + F.when(inside, F.length(x["text"])).otherwise(F.lit(0))
+        return F.struct(at.alias("at"), F.when(inside, F.concat(s["out"], F.array(piece(x["text"], x)))).otherwise(s["out"]).alias("out"))
+
+    def finish(s: Column) -> Column:
+        n = F.size(s["out"])
+        last = F.element_at(s["out"], -1)
+        over = F.greatest(s["at"] - F.length(token), F.lit(0))
+        cut_off = F.regexp_replace(F.substring(last["text"], F.lit(1), F.greatest(F.length(last["text"]) - over, F.lit(0))), r"\n\z", "")
+        return F.when(n > 0, F.concat(F.slice(s["out"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(piece(cut_off, last)))).otherwise(none)
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, finish)
+
+
+def trim_span_start(text: Column, e: Column, lemmas: Column | None = None, analyse=None) -> Column:
     """A span without words at its start that say nothing, white space and marks.
 
     Only spans with Cyrillic, longer than five characters and of more than one word are cut, and none that begins with c+, с+, c# or с#.
-    ``lemmas`` maps words to lemmas; words it lacks stand for themselves.
+    ``lemmas`` maps words to lemmas; words it lacks stand for themselves. ``analyse`` is a morphological analyser in their place: a
+    function from the span's text to array<struct<text, lemma>>.
     """
     from spanloom.functions.text import pieces
 
     listed = F.array(*[F.lit(w) for w in EMPTY_WORDS])
-    lemma = lambda p: F.lower(p) if lemmas is None else F.coalesce(F.try_element_at(lemmas, F.lower(p)), F.lower(p))
-    idle = lambda p: F.array_contains(listed, lemma(p)) | p.rlike(r"\A(?:" + PUNCTUATION_CLASS + r"|\s|\p{Z})+\z")
+    idle = lambda p: F.coalesce(F.array_contains(listed, p["lemma"]), F.lit(False)) | p["text"].rlike(r"\A(?:" + PUNCTUATION_CLASS + r"|\s|\p{Z})+\z")
+
+    def by_table(v: Column) -> Column:
+        lemma = lambda p: F.lower(p) if lemmas is None else F.coalesce(F.try_element_at(lemmas, F.lower(p)), F.lower(p))
+        words = F.filter(pieces(v, r"[\p{L}\p{M}\p{N}]+"), lambda p: p != "")
+        return F.transform(words, lambda p: F.struct(p.alias("text"), lemma(p).alias("lemma")))
 
     def trim(x: Column) -> Column:
         skip = F.aggregate(
             x["p"],
             F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
-            lambda s, p: let(s["on"] & idle(p), lambda on: F.struct(F.when(on, s["n"] + F.length(p)).otherwise(s["n"]).alias("n"), on.alias("on"))),
+            lambda s, p: let(s["on"] & idle(p), lambda on: F.struct(F.when(on, s["n"] + F.length(p["text"])).otherwise(s["n"]).alias("n"), on.alias("on"))),
             lambda s: s["n"],
         )
         apt = ~has_no_cyrillic(x["v"]) & (F.length(x["v"]) > 5) & (F.size(x["p"]) > 1) & ~F.lower(F.substring(x["v"], 1, 2)).isin("c+", "с+", "c#", "с#")
         return span(F.when(apt, e["start"] + skip).otherwise(e["start"]), e["end"], e["class"])
 
-    value = cut(text, e["start"], e["end"])
-    parts = lambda v: F.struct(v.alias("v"), F.filter(pieces(v, r"[\p{L}\p{M}\p{N}]+"), lambda p: p != "").alias("p"))
-    return let(let(value, parts), trim)
+    parts = lambda v: F.struct(v.alias("v"), (by_table(v) if analyse is None else align_analysis(v, analyse(v))).alias("p"))
+    return let(let(cut(text, e["start"], e["end"]), parts), trim)

@@ -105,7 +105,7 @@ QUERIES = {
     "J5_root_members": root_members,
     "J4_O3_duplicate_lists": duplicate_lists,
     "P3_status": status,
-    "P2_P4_listing": listing,
+    "P1_P2_P4_listing": listing,
     "A7_W5_last_batch_rows": last_batch_rows,
     "A1_W1_root_per_cluster": root_per_cluster,
 }
@@ -129,7 +129,7 @@ ORACLE = {
     "J5_root_members": f"with {DOCS} select root_id, max(id) as id from docs where root_id is not null group by root_id",
     "J4_O3_duplicate_lists": f"with {DOCS} select root_id, id, object_type, system_id from docs where root_id in (select id from docs)",
     "P3_status": f"with {DOCS} select id, object_type, system_id, root_id, is_active, created_at, updated_at, ner_text is not distinct from text as ner_extracted from docs",
-    "P2_P4_listing": f"with {DOCS} select id, object_type, system_id from docs",
+    "P1_P2_P4_listing": f"with {DOCS} select id, object_type, system_id from docs",
     "A7_W5_last_batch_rows": """select id, batch_no, n_chars, first_batch from (select id, batch_no, length(text) as n_chars, min(batch_no) over (partition by id) as first_batch,
         row_number() over (partition by id order by batch_no desc, received_at desc) as k from document_batch) where k = 1""",
     "A1_W1_root_per_cluster": f"with {DOCS} select id, coalesce(root_id, id) as cluster, min(id) over (partition by coalesce(root_id, id)) as first_id from docs",

@@ -132,13 +132,13 @@ def health(spark, d):
 
 
 QUERIES = {
-    "J1_G7_saved_spans": saved_spans,
+    "J1_F13_C18_saved_spans": saved_spans,
     "G7_saved_data": saved_data,
     "A8_found_keywords": found_keywords,
-    "M1_keyword_upsert": keyword_upsert,
+    "M1_S8_keyword_upsert": keyword_upsert,
     "A9_J9_keyword_values": keyword_values,
     "A5_status_of_values": status_of_values,
-    "M4_C16_link_upsert": link_upsert,
+    "M4_C16_C15_S8_link_upsert": link_upsert,
     "M2_J6_X2_stale_links": stale_links,
     "M3_marked_processed": marked_processed,
     "U8_M6_A4_extraction_links": extraction_links,
@@ -156,17 +156,17 @@ _FOUND = """found as (select value, arg_min(e."class", (id, pos)) as type from s
 _NEW = "fresh as (select document_id, keyword_id, meta from links where status = 'extracted'), mine as (select id from docs where object_type = 'vacancy')"
 
 ORACLE = {
-    "J1_G7_saved_spans": f"""with {_LINKS} select document_id, value, type, status, i[1] as "start", i[2] as "end"
+    "J1_F13_C18_saved_spans": f"""with {_LINKS} select document_id, value, type, status, i[1] as "start", i[2] as "end"
         from (select l.document_id, k.value, k.type, l.status, unnest(l.meta.indices) as i from links l join keyword k on k.id = l.keyword_id where l.meta is not null)""",
     "A8_found_keywords": f"with {DATA}, {SPANS}, {_FOUND} select value, type from found",
-    "M1_keyword_upsert": f"""with {DATA}, {SPANS}, {_FOUND}, {_KEYWORDS}
+    "M1_S8_keyword_upsert": f"""with {DATA}, {SPANS}, {_FOUND}, {_KEYWORDS}
         select k.id, k.value, case when f.value is not null then f.type else k.type end as type, case when f.value is not null then timestamp '2032-01-01' else k.updated_at end as updated_at
         from kw k left join found f using (value)
         union all select (select max(id) from kw) + row_number() over (order by value), value, type, timestamp '2032-01-01' from found where value not in (select value from kw)""",
     "A9_J9_keyword_values": f"""with {DATA}, {SPANS}, {_KEYWORDS} select s.value, count(*) as n_spans, count(distinct s.id) as n_texts, any_value(k.id) as keyword_id
         from spans s left join kw k using (value) where text is not null group by s.value""",
     "A5_status_of_values": f"with {DATA} select id, {strip_sql('lower(s.key)')} as value, s.value as status from (select id, unnest(map_entries(status)) as s from data)",
-    "M4_C16_link_upsert": f"""with {DOCS}, {_LINKS}, {_NEW}
+    "M4_C16_C15_S8_link_upsert": f"""with {DOCS}, {_LINKS}, {_NEW}
         select l.document_id, l.keyword_id, case when f.document_id is not null then 'confirmed' else l.status end as status, cast(len(l.meta.indices) as int) as n_marks, l.created_at,
             case when f.document_id is not null then timestamp '2032-01-01' else l.updated_at end as updated_at
         from links l left join fresh f using (document_id, keyword_id) where f.document_id is not null or l.document_id not in (select id from mine)""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,7 +72,7 @@ def stemmed(spark, d):
 
 
 def lemmatized(spark, d):
-    return TextLemmatizer(inputCol="text", outputCol="lemmas", lemmas={"навыки": "навык"}).transform(docs(spark, d, "id", "text")).select("id", "lemmas")
+    return TextLemmatizer(inputCol="text", outputCol="lemmas", lemmas=_LEMMAS).transform(docs(spark, d, "id", "text")).select("id", "lemmas")
 
 
 def script_of_words(spark, d):
@@ -310,8 +312,19 @@ def keyword_spans(spark, d):
     return _spans(extract.extract_by_dictionary(documents.eligible(docs(spark, d, "id", "is_active", "root_id", "text")).select("id", "text"), kw))
 
 
+def _latin_words():
+    """A tagger: words of Latin letters that begin with a capital."""
+    return lambda docs: [["B-Latin" if re.fullmatch("[A-Z][A-Za-z]+", w) else "O" for w in s] for s in docs]
+
+
+def tagged_spans(spark, d):
+    """A tagger that each worker loads once, called with batches of documents."""
+    return _spans(extract.extract(data(spark, d).select("id", "text"), _latin_words))
+
+
 QUERIES = {
-    "C1_fixed_keywords": fixed_keywords,
+    "U1_S9_U3_L1_tagged_spans": tagged_spans,
+    "C1_T29_fixed_keywords": fixed_keywords,
     "C6_fixed_text": fixed_text,
     "C4_stripped_characters": stripped_characters,
     "C3_normalized": normalized,
@@ -321,20 +334,20 @@ QUERIES = {
     "C10_stemmed": stemmed,
     "C11_lemmatized": lemmatized,
     "C14_T12_script_of_words": script_of_words,
-    "T1_T2_T3_W3_sentences": sentence_rows,
+    "T1_T2_T3_W3_F12_sentences": sentence_rows,
     "A10_line_lengths": line_lengths,
     "T5_joined_sentences": joined_sentences,
     "T4_J11_attached": attached,
     "T8_T13_fixed_punctuation": fixed_punctuation,
     "T26_spaced_spans": spaced_spans,
     "T9_T10_T11_split_words": split_words,
-    "T6_T17_T18_token_frame": token_frame,
+    "T6_T17_T18_J12_W4_token_frame": token_frame,
     "T7_document_labels": document_labels,
     "T14_decoded": decoded,
     "T14_W2_decoded_by_windows": decoded_by_windows,
-    "T15_annotated": annotated,
+    "T15_C2_annotated": annotated,
     "T16_label_list": label_list,
-    "A11_U5_evaluation": evaluation,
+    "A11_U4_U5_evaluation": evaluation,
     "F8_non_empty_spans": non_empty_spans,
     "O1_ordered_spans": ordered_spans,
     "F7_G6_filtered": filtered,
@@ -419,16 +432,21 @@ _SPAN_COLS = 'e."start" as "start", e."end" as "end", e."class" as "class"'
 _STATUS = f"st as (select id, {strip_sql('lower(s.key)')} as value, s.value as status from (select id, unnest(map_entries(status)) as s from data where text is not null))"
 
 ORACLE = {
-    "C1_fixed_keywords": f"select id, {strip_sql('lower(value)')} as value from keyword",
+    "U1_S9_U3_L1_tagged_spans": f"""with {DATA}, {_sentences_sql('select id, text from data')},
+        cutup as (select id, pos as sent, "offset" as base, string_split(regexp_replace(text, '([\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s\\x0B\\p{{Z}}])', chr(1) || '\\1' || chr(1), 'g'), chr(1)) as ps from out),
+        bits as (select id, sent, base, unnest(ps) as w, generate_subscripts(ps, 1) as i from cutup),
+        spots as (select *, base + coalesce(sum(length(w)) over (partition by id, sent order by i rows between unbounded preceding and 1 preceding), 0) as spot from bits)
+        select id, cast(spot as int) as "start", cast(spot + length(w) as int) as "end", 'Latin' as "class" from spots where i % 2 = 0 and regexp_full_match(w, '[A-Z][A-Za-z]+')""",
+    "C1_T29_fixed_keywords": f"select id, {strip_sql('lower(value)')} as value from keyword",
     "C6_fixed_text": f"with {_CORPUS} select id, {_FIX} as text from src",
     "C4_stripped_characters": f"with {_CORPUS} select id, {_strip_characters_sql('text')} as text from src",
     "C3_normalized": f"with {_CORPUS} select id, {_FIX.replace('(text,', '(' + _strip_characters_sql('lower(' + strip_sql('text') + ')') + ',', 1)} as norm from src",
-    "T1_T2_T3_W3_sentences": f"with {_CORPUS}, {_sentences_sql('select * from src')} select id, pos, \"offset\", text from out",
+    "T1_T2_T3_W3_F12_sentences": f"with {_CORPUS}, {_sentences_sql('select * from src')} select id, pos, \"offset\", text from out",
     "T4_J11_attached": f"with {DATA}, {_sentences_sql('select id, text, entities from data', True)}, {_ATTACHED} select o.id, o.pos, o.\"offset\", o.text, cast(count(a.k) as int) as n_spans from out o left join att a on a.id = o.id and a.pos = o.pos group by all",
-    "T6_T17_T18_token_frame": f"with {DATA}, {_sentences_sql('select id, text, entities from data', True)}, {_ATTACHED}, {_TAGGED} select id, cast(sentence as int) as sentence, cast(pos as int) as pos, word, label from tagged",
+    "T6_T17_T18_J12_W4_token_frame": f"with {DATA}, {_sentences_sql('select id, text, entities from data', True)}, {_ATTACHED}, {_TAGGED} select id, cast(sentence as int) as sentence, cast(pos as int) as pos, word, label from tagged",
     "T14_decoded": f"with {DATA}, {_sentences_sql('select id, text, entities from data', True)}, {_ATTACHED}, {_TAGGED}, {_DECODED}",
     "T14_W2_decoded_by_windows": f"with {DATA}, {_sentences_sql('select id, text, entities from data', True)}, {_ATTACHED}, {_TAGGED}, {_DECODED}",
-    "A11_U5_evaluation": f"""with {DATA}, {_sentences_sql('select id, text, entities from data', True)}, {_ATTACHED}, {_TAGGED},
+    "A11_U4_U5_evaluation": f"""with {DATA}, {_sentences_sql('select id, text, entities from data', True)}, {_ATTACHED}, {_TAGGED},
         t as (select string_split(id, '-')[1] as kind, lower(word) as w, label from tagged),
         best as (select w, label as guess from (select *, row_number() over (partition by w order by n desc, label) as k from (select w, label, count(*) as n from t group by all)) where k = 1),
         c as (select kind, count(*) filter (label = guess and label <> 'O') as hits, count(*) filter (guess <> 'O') as guessed, count(*) filter (label <> 'O') as truth, count(*) as n from t join best using (w) group by kind)
@@ -451,7 +469,7 @@ ORACLE = {
         select s.id, e."start" as "start", e."end" as "end", t."class" as "class" from spans s join top t on t.token = s.value""",
     "T24_J10_overridden": f"""with {DATA}, {SPANS} select id, e."start" as "start", e."end" as "end",
         case when value in (select lower(name) from canon_term where type = 'ProgLanguage') then 'ProgLanguage' else e."class" end as "class" from spans where text is not null""",
-    "T15_annotated": f"""with {DATA}, s as (select id, text, e, row_number() over (partition by id order by e."start", i) as k from (select id, text, unnest(entities) as e, generate_subscripts(entities, 1) as i from data where text is not null)),
+    "T15_C2_annotated": f"""with {DATA}, s as (select id, text, e, row_number() over (partition by id order by e."start", i) as k from (select id, text, unnest(entities) as e, generate_subscripts(entities, 1) as i from data where text is not null)),
         p as (select *, coalesce(lag(e."end") over (partition by id order by k), 0) as spot from s),
         ends as (select d.id, any_value(d.text) as text, coalesce(arg_max(s.e."end", s.k), 0) as spot, count(s.k) as n from data d left join s using (id) where d.text is not null group by d.id)
         select id, cast(2 * k - 2 as int) as pos, substring(text, spot + 1, greatest(e."start" - spot, 0)) as text, null::varchar as "class" from p
@@ -460,7 +478,7 @@ ORACLE = {
     "T16_label_list": """with l as (select 0 as o, 'O' as label union all select 1 + 2 * row_number() over (order by type), 'B-' || type from (select distinct type from canon_term)
         union all select 2 + 2 * row_number() over (order by type), 'I-' || type from (select distinct type from canon_term)) select cast(row_number() over (order by o) - 1 as int) as pos, label from l""",
     "C11_lemmatized": f"""with {DOCS} select id, array_to_string(list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s\\x0B\\p{{Z}}]'),
-        lambda x: case when x = 'навыки' then 'навык' else x end), ' ') as lemmas from docs""",
+        lambda x: coalesce(map_extract(map {{{', '.join(f"'{a}': '{b}'" for a, b in _LEMMAS.items())}}}, x)[1], x)), ' ') as lemmas from docs""",
     "T9_T10_T11_split_words": r"""with w as (select id, value, length(value) - length(replace(value, ',', '')) as commas, string_split(value, ',') as segs, string_split(value, '/') as parts from keyword),
         c as (select *, len(list_filter(segs, lambda s: regexp_full_match(s, '[ \t\n\r\x0B\f]'))) as blank,
             len(list_filter(segs, lambda s: not regexp_full_match(s, '[ \t\n\r\x0B\f]') and not regexp_matches(s, '[а-яА-Я]'))) as english,
