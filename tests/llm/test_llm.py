@@ -5,8 +5,9 @@ import os
 import random
 import re
 from collections import Counter
-from datetime import datetime
+from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,19 +183,48 @@ def test_the_partner_among_variants_that_share_all_buckets(spark):
     assert got == {1000 + k: k % 13 for k in range(26)}
 
 
-def test_band_keys_find_texts_with_one_word_in_six_changed():
+def test_candidates_at_the_threshold_are_found():
+    """Recall of the bands and the signature filter, at one word in six changed and just above ``SAME``."""
     rng = random.Random(3)
-    texts = []
-    for _ in range(200):
-        t = _text(rng, 60).split()
-        u = list(t)
-        for k in rng.sample(range(60), 10):
-            u[k] = f"иное{rng.randrange(10**6)}"
-        texts += [" ".join(t), " ".join(u)]
-    words = history._Words()
-    f, bounds = history._features([words(t) for t in texts])
-    keys = history._band_keys(history._signatures(f, bounds[:-1]))
-    assert sum(bool(set(keys[i]) & set(keys[i + 1])) for i in range(0, 400, 2)) >= 180
+    for n, changed, least in ((60, 10, 0.96), (60, 12, 0.9), (120, 25, 0.9)):
+        texts = []
+        for _ in range(300):
+            t = _text(rng, n).split()
+            u = list(t)
+            for k in rng.sample(range(n), changed):
+                u[k] = f"иное{rng.randrange(10**6)}"
+            texts += [" ".join(t), " ".join(u)]
+        words = history._Words()
+        f, bounds = history._features([words(t) for t in texts])
+        sig = history._signatures(f, bounds[:-1])
+        keys, bits = history._band_keys(sig), history._sketches(sig).view(np.uint64)
+        assert (n - changed) / n >= history.SAME
+        differ = lambda a, b: int(np.bitwise_count((a[0] ^ b[0]) | (a[2] ^ b[2])) + np.bitwise_count((a[1] ^ b[1]) | (a[3] ^ b[3])))
+        found = sum(bool(set(keys[i]) & set(keys[i + 1])) and differ(bits[i], bits[i + 1]) <= history.MISMATCHES for i in range(0, 600, 2))
+        assert found >= least * 300, (n, changed, found / 300)
+
+
+def test_a_probe_reads_only_its_buckets(spark):
+    rng = random.Random(5)
+    index = history.HistoryIndex(spark, buckets=256, parts=64)
+    index.add_documents(spark.createDataFrame([(i, _text(rng)) for i in range(200)], "id long, text string"))
+    keys = history.entries(spark.createDataFrame([(1, _text(rng))], "id long, text string"), ["id"]).select(F.explode("bands").alias("key"))
+    at = sorted({r[0] % 256 for r in keys.collect()})
+    rows = index.read("bands", at)
+    assert len(at) <= history.BANDS and rows.count() < index.read("bands").count() / 3
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "PartitionFilters: []" not in plan
+    assert index.read("seen").count() == 0
+
+
+def test_survivor_by_old_votes_and_ranked_sources(spark):
+    # Far more half-lives back than a double has powers of two: the two older votes still outweigh the newer one.
+    rows = [(1, 1, DAY[0], "a" * 30, None, None, "x"), (2, 1, DAY[0], "A" * 30, None, None, "x"), (3, 1, DAY[0] + timedelta(seconds=1), "b" * 30, None, None, "x"), (9, None, datetime(2040, 1, 1), "c", None, None, "x")]
+    df = spark.createDataFrame(rows, "id long, root_id long, updated_at timestamp, text string, ner_text string, system_id string, group_id string").drop("group_id")
+    assert survivor.survivors(df, half_life_days=1.0).collect()[0]["text_from"] == 1
+    assert survivor.survivors(df).collect()[0]["text_from"] == 3
+    tie = df.withColumn("updated_at", F.lit(DAY[0]))
+    assert survivor.survivors(tie).collect()[0]["text_from"] == 1 and survivor.survivors(tie, rank=F.col("id")).collect()[0]["text_from"] == 3
 
 
 # --- 3 ---
@@ -423,3 +453,32 @@ def test_core_imports_nothing_from_here():
             for f in files:
                 if f.endswith(".py"):
                     assert not re.search(r"spanloom\.llm|from \.+llm|import llm", open(f"{at}/{f}", encoding="utf-8").read()), f
+
+
+def test_blocks_of_the_list_give_the_same_answers(spark):
+    canon = [(1, "Rust", "T", None), (2, "Rust compiler", "T", ["rustc"]), (3, "Go", "T", ["golang"]), (4, "Go", "P", None), (5, "Machine learning", "S", None), (6, "Learning", "S", None), (7, None, "S", ["pedagogy"])]
+    values = ["senior rust compiler", "rust", "golang dev", "go", "machin learnng", "learning, machine", "nothing", "", None, "rustc", "pedagogi"]
+    c = spark.createDataFrame(canon, "canon_id long, name string, type string, aliases array<string>")
+    v = spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate([(x, t) for x in values for t in ("T", "P", None)])], "id long, value string, type string")
+    rows = lambda block: sorted(map(tuple, canonical.map_values(v, c, block).collect()))
+    whole = rows(100)
+    assert dict(whole)[0] == 2 and rows(1) == whole and rows(3) == whole
+
+
+def test_packing_keeps_sizes_and_capacity():
+    rng = random.Random(8)
+    for _ in range(30):
+        cap = rng.randrange(5, 60)
+        sizes = [rng.randrange(1, cap + 1) for _ in range(rng.randrange(1, 80))]
+        out = packing.pack(sizes, cap)
+        fill = Counter()
+        for n, b in zip(sizes, out):
+            fill[b] += n
+        assert len(out) == len(sizes) and max(fill.values()) <= cap and sorted(fill) == list(range(len(fill)))
+
+
+def test_published_look_alikes(spark):
+    more = lookalike.published(spark)
+    rows = spark.createDataFrame([("t", "1", "kο\u0433"), ("t", "2", "kor"), ("t", "3", "kör")], "tbl string, key string, value string")
+    got = [tuple(r) for r in lookalike.lookalike_pairs(rows).collect()]
+    assert got == ([("t", "1", "2")] if more else [])
