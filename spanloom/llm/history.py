@@ -2,13 +2,14 @@
 
 The history is an index of tables in one folder, written once and appended to:
 
-* ``bands`` (key, fp), partitioned by ``bucket``, a hash of the minwise band key;
+* ``bands`` (key, fp, one bit of each hash of the signature), partitioned by ``bucket``, a hash of the minwise band key;
 * ``texts`` (fp, ids, number of words, signature, hashed words), partitioned by ``part``, a hash of the fingerprint;
 * ``seen`` (id), the ids of all batch rows so far, partitioned likewise.
 
 A probe computes the band keys of the batch, reads only the buckets these keys fall in (a filter on the partition column), joins on
 the key, reads signatures and words of the candidates' parts only, verifies, and appends what it accepts. No text is read again, and
-no row of the history outside of the touched buckets and parts.
+no row of the history outside of the touched buckets and parts. Unlike texts that share a band key by chance grow with the square of the
+texts; the bits beside the key drop all but a few in a thousand of them inside the join, before anything is written or shuffled.
 
 Similarity. Words are runs of letters and digits after markup is removed and look-alike
 characters are brought to one form; their order does not count. Of two texts with word multisets A
@@ -51,11 +52,16 @@ ROWS = 6
 #: Hashes (of 128, two bits of each kept) in which the signatures of candidates may differ: 2.6 standard deviations above what two
 #: texts at ``SAME`` differ in.
 MISMATCHES = 46
+#: Of the 128 hashes one bit of each is kept beside the band keys. Bits in which candidates may differ: 3.3 standard deviations above
+#: what two texts at ``SAME`` differ in (0.0007 of such pairs differ in more).
+BITS = 36
 #: Partitions of the tables. A bucket of the history expected should hold about a gigabyte: thousands at 100 TB.
 BUCKETS = 32
 PARTS = 16
 #: Classes of a batch in one bucket from which the bucket is crowded.
 CROWD = 200
+#: Pairs of similar classes up to which one task decides them all: a few megabytes.
+ONE_TASK = 500_000
 
 _TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
@@ -199,6 +205,16 @@ def _differ(a: str = "", b: str = "_other") -> Column:
     return F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3]))
 
 
+def _alike() -> Column:
+    """Whether the bits beside two band keys are near enough."""
+    x = [F.col(c).bitwiseXOR(F.col(f"{c}_other")) for c in _SKETCH[:2]]
+    return F.bit_count(x[0]) + F.bit_count(x[1]) <= BITS
+
+
+def _as_other(keys: DataFrame) -> DataFrame:
+    return keys.select("key", F.col("fp").alias("other"), *[F.col(c).alias(f"{c}_other") for c in _SKETCH[:2]])
+
+
 def _bucket(key: Column, n: int) -> Column:
     return F.pmod(key, F.lit(n)).cast("int")
 
@@ -209,35 +225,69 @@ def crowded(keys: DataFrame, most: int = CROWD) -> DataFrame:
 
 
 def meet(mine: DataFrame, past: DataFrame, crowds: DataFrame | None) -> DataFrame:
-    """(fp, other): classes of the batch (fp, place, key) with classes of the history (other, key) and with one another, once a pair.
+    """(fp, other): classes of the batch (fp, place, key, bits) with classes of the history (other, key, bits) and with one another, once a pair.
 
     In a crowded bucket each class meets only the first class of the bucket, so the pairs grow with the bucket, not with its square.
     """
     calm, first = mine, None
     if crowds is not None:
         calm = mine.join(crowds, "key", "left_anti")
-        old = past.join(crowds, "key", "left_semi").groupBy("key").agg(F.min("other").alias("old"))
-        new = mine.join(crowds, "key", "left_semi").groupBy("key").agg(F.min_by("fp", F.struct("place", "fp")).alias("new"))
-        first = mine.join(new.join(old, "key", "left").select("key", F.coalesce("old", "new").alias("other")), "key").where("fp <> other").select("fp", "other")
-    calm = calm.select("fp", "key")
-    inner = calm.join(calm.withColumnRenamed("fp", "other"), "key").where("fp < other").select("fp", "other")
-    out = calm.join(past, "key").where("fp <> other").select("fp", "other").unionByName(inner)
+        bits = [f"{c}_other" for c in _SKETCH[:2]]
+        old = past.join(crowds, "key", "left_semi").groupBy("key").agg(F.min(F.struct("other", *bits)).alias("old"))
+        dense = mine.join(crowds, "key", "left_semi")
+        new = dense.join(dense.groupBy("key").agg(F.min_by("fp", F.struct("place", "fp")).alias("fp")), ["key", "fp"], "left_semi")
+        new = _as_other(new).select("key", F.struct("other", *bits).alias("new"))
+        first = mine.join(new.join(old, "key", "left").select("key", F.coalesce("old", "new").alias("o")).select("key", "o.*"), "key")
+        first = first.where((F.col("fp") != F.col("other")) & _alike()).select("fp", "other")
+    calm = calm.drop("place")
+    inner = calm.join(_as_other(calm), "key").where((F.col("fp") < F.col("other")) & _alike()).select("fp", "other")
+    out = calm.join(past, "key").where((F.col("fp") != F.col("other")) & _alike()).select("fp", "other").unionByName(inner)
     return (out if first is None else out.unionByName(first)).distinct()
 
 
-def resolve(leaders: DataFrame, edges: DataFrame) -> DataFrame:
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, accepted) from (fp, earlier, settled): a class is accepted unless an earlier one is; one that is ``settled`` is not, and
+    one without earlier ones is."""
+    before: dict[int, list[int]] = {}
+    for batch in batches:
+        for fp, earlier, settled in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            before.setdefault(fp, []).extend(() if settled else (earlier,))
+    accepted: dict[int, bool] = {}
+    for top in before:
+        todo = [top]
+        while todo:
+            x = todo[-1]
+            missing = [y for y in before.get(x, ()) if y not in accepted] if x not in accepted else []
+            if not missing:
+                accepted[x] = not any(accepted[y] for y in before.get(x, ()))
+                todo.pop()
+            todo += missing
+    yield pa.RecordBatch.from_arrays([pa.array(list(before), pa.int64()), pa.array([accepted[x] for x in before], pa.bool_())], names=["fp", "accepted"])
+
+
+def resolve(leaders: DataFrame, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(fp, accepted) for classes decided in order: a class is accepted unless an accepted earlier one is similar.
 
-    ``leaders`` is (fp, place, known): ``known`` marks classes the history has; ``edges`` is (fp, earlier). Each round decides every class whose
-    earlier neighbours are decided, so rounds follow the longest chain of similar texts, not the
-    number of batches. Only the similar classes take part.
+    ``leaders`` is (fp, place, known): ``known`` marks classes the history has; ``edges`` is (fp, earlier). At most ``one_task`` edges, which
+    are counted, are decided by one task. Beyond, each round decides every class whose earlier neighbours are decided, so
+    rounds follow the longest chain of similar texts, not the number of batches. Only the similar classes take part.
     """
-    undecided = stage(edges.join(leaders.where("known").select("fp"), "fp", "left_anti"), "undecided")
-    if undecided.isEmpty():
-        discard(undecided)
-        return leaders.select("fp", (~F.col("known")).alias("accepted"))
+    known = leaders.where("known").select("fp")
+    settled = known.select(F.col("fp").alias("earlier"), F.lit(True).alias("settled"))
+    undecided = stage(edges.join(known, "fp", "left_anti").join(settled, "earlier", "left").select("fp", "earlier", F.coalesce("settled", F.lit(False)).alias("settled")), "undecided")
+    n = undecided.count()
+    if n <= one_task:
+        made = leaders.select("fp", "known")
+        if n:
+            told = undecided.coalesce(1).mapInArrow(_decide, "fp long, accepted boolean")
+            made = made.join(told, "fp", "left")
+        else:
+            discard(undecided)
+            made = made.withColumn("accepted", F.lit(True))
+        return made.select("fp", (~F.col("known") & F.coalesce("accepted", F.lit(True))).alias("accepted"))
+    undecided = undecided.drop("settled")
     accepted = leaders.where(~F.col("known")).select("fp").join(undecided.select("fp").distinct(), "fp", "left_anti")
-    decided = stage(leaders.where("known").select("fp", F.lit(False).alias("accepted")).unionByName(accepted.select("fp", F.lit(True).alias("accepted"))), "decided")
+    decided = stage(known.select("fp", F.lit(False).alias("accepted")).unionByName(accepted.select("fp", F.lit(True).alias("accepted"))), "decided")
     while not undecided.isEmpty():
         look = (
             undecided.join(decided.select(F.col("fp").alias("earlier"), "accepted"), "earlier", "left")
@@ -260,7 +310,7 @@ class HistoryIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, crowd: int = CROWD, buckets: int = BUCKETS, parts: int = PARTS) -> None:
         self.spark, self.path, self.crowd, self.buckets, self.parts = spark, path or new_path(spark, "history"), crowd, buckets, parts
         self.kinds = {
-            "bands": "key long, fp long, bucket int",
+            "bands": "key long, fp long, s0 long, s1 long, bucket int",
             "texts": "fp long, low long, high long, n int, words array<int>, s0 long, s1 long, s2 long, s3 long, part int",
             "seen": "id long, part int",
         }
@@ -282,7 +332,7 @@ class HistoryIndex:
         """Add classes (fp, low, high, n, words, signature, bands), each class once."""
         together(
             lambda: self._write("texts", found.select("fp", "low", "high", "n", "words", *_SKETCH), "part", "fp", self.parts),
-            lambda: self._write("bands", found.select("fp", F.explode("bands").alias("key")), "bucket", "key", self.buckets),
+            lambda: self._write("bands", found.select("fp", *_SKETCH[:2], F.explode("bands").alias("key")), "bucket", "key", self.buckets),
         )
 
     def add_documents(self, docs: DataFrame) -> None:
@@ -318,8 +368,8 @@ class HistoryIndex:
         active = stage(
             new.where(F.col("s0").isNotNull()).drop("batch_no", "id").join(leaders.where(asks).select("fp", "place", "known"), "fp").dropDuplicates(["fp"]), "active"
         )
-        mine = active.select("fp", "place", F.explode("bands").alias("key"))
-        past = self.read("bands", at["bands"]).select(F.col("fp").alias("other"), "key")
+        mine = active.select("fp", "place", *_SKETCH[:2], F.explode("bands").alias("key"))
+        past = _as_other(self.read("bands", at["bands"]))
         # No bucket holds more classes than there are.
         crowds = stage(crowded(mine, self.crowd), "crowds") if active.count() > self.crowd else None
         if crowds is not None and crowds.isEmpty():
@@ -341,28 +391,27 @@ class HistoryIndex:
             settled = leaders.join(ahead.select("fp").distinct().withColumn("near", F.lit(True)), "fp", "left")
             settled = settled.select("fp", (F.col("known") | F.coalesce("near", F.lit(False))).alias("known"))
             decided = resolve(settled, inner.select("fp", F.col("other").alias("earlier")))
-            accepted = decided.where("accepted").select("fp")
+            accepted = stage(decided.where("accepted").select("fp"), "accepted")
             if crowds is None:
                 break
             # What was told new in a crowded bucket has met only the first of it. It now meets the rest; that settles
             # every class that is decided as new, and a group of near copies has few of those.
-            accepted = stage(accepted, "accepted")
-            dense = mine.select("fp", "key").join(crowds, "key", "left_semi")
+            dense = mine.drop("place").join(crowds, "key", "left_semi")
             todo = dense.select("fp").distinct().join(accepted, "fp", "left_semi")
             todo = stage(todo if seen is None else todo.join(seen, "fp", "left_anti"), "todo")
             if todo.isEmpty():
                 break
             seen = todo if seen is None else stage(seen.unionByName(todo), "seen")
-            theirs = past.join(crowds, "key", "left_semi").unionByName(dense.withColumnRenamed("fp", "other"))
-            more = dense.join(todo, "fp", "left_semi").join(theirs, "key").where("fp <> other").select("fp", "other").distinct()
+            theirs = past.join(crowds, "key", "left_semi").unionByName(_as_other(dense))
+            more = dense.join(todo, "fp", "left_semi").join(theirs, "key").where((F.col("fp") != F.col("other")) & _alike()).select("fp", "other").distinct()
             near = stage(near.unionByName(self._verify(more, active)).distinct(), "similar", replaces=near)
 
         if crowds is not None:
             # The classes that repeat have met only the first of a crowded bucket: now all they could repeat. An accepted class is in
             # ``seen``, so no verdict changes; only the partner named does.
             rest = dense if seen is None else dense.join(seen, "fp", "left_anti")
-            could = past.join(crowds, "key", "left_semi").unionByName(dense.join(accepted, "fp", "left_semi").withColumnRenamed("fp", "other"))
-            more = rest.join(could, "key").where("fp <> other").select("fp", "other").distinct()
+            could = past.join(crowds, "key", "left_semi").unionByName(_as_other(dense.join(accepted, "fp", "left_semi")))
+            more = rest.join(could, "key").where((F.col("fp") != F.col("other")) & _alike()).select("fp", "other").distinct()
             near = stage(near.unionByName(self._verify(more, active)).distinct(), "similar", replaces=near)
             ahead, inner = links_of(near)
 
