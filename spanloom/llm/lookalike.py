@@ -77,19 +77,24 @@ def table() -> dict[int, str]:
     return out | {ord(a): unicodedata.normalize("NFD", b) for a, b in LOOKS_LIKE.items()}
 
 
+class NoConfusables(RuntimeError):
+    """The session has no ICU library, so the published look-alikes are not known."""
+
+
 def published(spark: SparkSession) -> dict[int, str]:
     """Character to prototype by the confusables data of the session's ICU library: letters that look like one other letter.
 
-    ASCII characters stay, so do letters that differ by an accent only. Without that library the table is empty.
+    ASCII characters stay, so do letters that differ by an accent only. A session without that library is an error: without the
+    table pairs would be missing from the result.
     """
     letters = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c))[0] == "L"]
     try:
         checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-    except TypeError:  # the name is a package, not a class
-        return {}
+    except TypeError as e:  # the name is a package, not a class
+        raise NoConfusables("com.ibm.icu.text.SpoofChecker is not on the session's class path; Spark's own jars have it in icu4j") from e
     # One call for all: a skeleton is made character by character.
     prototypes = checker.getSkeleton("\n".join(letters)).split("\n")
-    return {ord(a): b for a, b in zip(letters, prototypes) if len(b) == 1 and b.isalpha() and unicodedata.normalize("NFD", a) != b}
+    return {ord(a): b for a, b in zip(letters, prototypes, strict=True) if len(b) == 1 and b.isalpha() and unicodedata.normalize("NFD", a) != b}
 
 
 def fold(s: str, prototypes: dict[int, str] | None = None) -> str:
@@ -122,6 +127,11 @@ def skeletons(s: str) -> tuple[str, ...]:
     return Skeletons()(s)
 
 
+def skeleton(s: str) -> str:
+    """The form that ``consistent_form`` gives, by the active session's published table."""
+    return Skeletons(published(SparkSession.active())).first(s)
+
+
 def skeleton_udf(more: dict[int, str]):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         forms = Skeletons(more)
