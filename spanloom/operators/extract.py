@@ -98,9 +98,11 @@ def extract_by_dictionary(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(id, text, entities, status) for (id, text): known keywords of any number of tokens, longest first, without overlap.
 
     Runs of as many tokens as some keyword has meet the keyword table in an equi-join on the exact stored value, so the work grows
-    with the texts, not with texts times keywords; one very long keyword adds one run per token.
+    with the texts, not with texts times keywords; one very long keyword adds one run per token. A run is cut from its sentence: from
+    the document each cut would count characters from the document's start.
     """
-    tok = texts.select("id", "text", F.posexplode(tokenized(F.col("text"))).alias("sent", "tok")).where(F.size("tok") > 0)
+    cut = F.transform(sentences.extract_sentences(F.col("text")), lambda s: F.struct(s["offset"].alias("at"), s["text"].alias("sent"), spans.tokens_of(s).alias("tok")))
+    tok = texts.select("id", F.explode(cut).alias("s")).select("id", "s.*").where(F.size("tok") > 0)
     tok = tok.crossJoin(F.broadcast(_run_lengths(keywords)))
     runs = F.flatten(
         F.transform(
@@ -111,7 +113,8 @@ def extract_by_dictionary(texts: DataFrame, keywords: DataFrame) -> DataFrame:
             ),
         )
     )
-    every = tok.select("id", "text", F.explode(runs).alias("r")).select("id", F.lower(spans.cut(F.col("text"), F.col("r.start"), F.col("r.end"))).alias("value"), "r.start", "r.end")
+    runs = tok.select("id", "at", "sent", F.explode(runs).alias("r"))
+    every = runs.select("id", F.lower(spans.cut(F.col("sent"), F.col("r.start") - F.col("at"), F.col("r.end") - F.col("at"))).alias("value"), "r.start", "r.end")
     dictionary = keywords.where(F.col("value").isNotNull()).groupBy("value").agg(F.min_by("type", "id").alias("class"))
     hits = _met(every, dictionary)
     per = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), "class"))).alias("h"))
