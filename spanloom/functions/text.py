@@ -55,7 +55,7 @@ def pieces(text: Column, pattern: str) -> Column:
 
     Pieces may be empty: at both ends and between neighbouring matches.
     """
-    safe = F.translate(text, CUT, "�")
+    safe = F.replace(text, F.lit(CUT), F.lit("�"))
     return F.split(F.regexp_replace(safe, f"({pattern})", f"{CUT}$1{CUT}"), CUT, -1)
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import CUT, pieces
 from spanloom.operators import documents, sentences, spans
 from spanloom.operators.store import Store, save, saved_data
 from spanloom.plans.skew import lookup_join
@@ -72,51 +73,103 @@ def _as_extracted(found: DataFrame) -> DataFrame:
     return found.withColumn("status", F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(EXTRACTED).alias("value")))))
 
 
-def _run_lengths(keywords: DataFrame) -> DataFrame:
-    """One row (lengths): the numbers of tokens that a run equal to some keyword can have."""
-    n = lambda v: F.size(spans.tokens_of(F.struct(F.lit(0).alias("offset"), v.alias("text"))))
-    # Lower case makes two tokens of the one letter İ; such a value may stand for a run of fewer tokens.
-    whole = F.regexp_replace("value", "i\u0307", "İ")
-    sizes = keywords.where(F.col("value").isNotNull()).select(F.explode(F.sequence(n(whole), n(F.col("value")))).alias("n"))
-    return sizes.where("n > 0").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
-
-
 #: Characters of a dictionary up to which it is sent to every worker.
 SENT = 20_000_000
+#: Rows of a filter sent to every worker, as a power of two. A fuller filter lets more runs pass that are no keywords.
+BUCKETS = 21
+
+
+def _parts(text: Column) -> Column:
+    """Gaps and tokens by turns, gaps first and last; they may be empty, tokens are not."""
+    return pieces(text, spans.TOKEN)
+
+
+def _as_part(low: Column) -> Column:
+    """Lower case as it is in a part of the text too: whether a sigma is written as a final one hangs on what follows it."""
+    return F.replace(low, F.lit("ς"), F.lit("σ"))
+
+
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << BUCKETS) - 1))
+
+
+def _bit(at: Column) -> Column:
+    """A long with one bit set; of ``at`` the lowest six bits count."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+
+
+def _length_bit(h: Column, n: Column) -> Column:
+    return _bit(F.shiftright(h, BUCKETS).bitwiseAND(F.lit(63)) + n)
+
+
+def _value_bits(h: Column) -> Column:
+    one, *more = [_bit(F.shiftright(h, BUCKETS + k).bitwiseAND(F.lit(63))) for k in (0, 6, 12)]
+    for bit in more:
+        one = one.bitwiseOR(bit)
+    return one
+
+
+def _filter(hashed: DataFrame, bits: Column) -> DataFrame:
+    """(bucket, bits) for (h, ...): what may pass, at most 2 ** BUCKETS rows of two longs however many keywords there are."""
+    return F.broadcast(hashed.groupBy(_bucket(F.col("h")).alias("bucket")).agg(F.bit_or(bits).alias("bits")))
+
+
+def _run() -> Column:
+    return F.array_join(F.slice("sent", F.col("i") + 1, 2 * F.col("number") - 1), "")
+
+
+def _place() -> list[Column]:
+    start = F.col("at") + F.length(F.array_join(F.slice("sent", F.lit(1), F.col("i")), ""))
+    return [start.alias("start"), (start + F.length(_run())).alias("end")]
+
+
+def _runs(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(id, value, at, sent, i, number): runs that begin with the first token of a keyword of as many tokens, and few others.
+
+    A run has ``number`` tokens from part ``i`` of its sentence's parts ``sent`` on; the sentence is ``at`` in the text.
+    """
+    n = lambda v: F.shiftright(F.size(_parts(v)), 1)
+    # Lower case makes two tokens of the one letter İ; such a value may stand for a run of fewer tokens.
+    sizes = F.sequence(n(F.regexp_replace("value", "i\u0307", "İ")), n(F.col("value")))
+    first = F.xxhash64(_as_part(F.lower(F.get(_parts(F.col("value")), F.lit(1)))))
+    known = keywords.where(F.col("value").isNotNull()).select(first.alias("h"), F.explode(sizes).alias("n")).where("n > 0")
+    begin = _filter(known, _length_bit(F.col("h"), F.col("n")))
+    lengths = known.agg(F.array_sort(F.collect_set("n")).alias("lengths"))
+    # Plain columns and no lambda functions from here on: tokens are met in compiled code, and only runs that pass are built.
+    sents = texts.select("id", F.explode(sentences.extract_sentences(F.col("text"))).alias("s")).select("id", F.col("s.offset").alias("at"), F.col("s.text").alias("text"))
+    sents = sents.crossJoin(F.broadcast(lengths)).select("id", "at", _parts(F.col("text")).alias("sent"), "lengths")
+    low = F.split(_as_part(F.lower(F.array_join("sent", CUT))), CUT, -1)
+    one = sents.select("id", "at", "sent", "lengths", F.posexplode(low).alias("i", "token")).where("i % 2 = 1").withColumn("h", F.xxhash64("token"))
+    one = one.withColumn("bucket", _bucket(F.col("h"))).join(begin, "bucket").select("id", "at", "sent", "i", "h", "bits", F.explode("lengths").alias("number"))
+    runs = one.where((F.col("i") + 2 * F.col("number") <= F.size("sent")) & (F.col("bits").bitwiseAND(_length_bit(F.col("h"), F.col("number"))) != 0))
+    # Never null; said so, as else a filter on it would build it once more.
+    value = F.coalesce(F.lower(_run()), F.lit(""))
+    return runs.select("id", value.alias("value"), "at", "sent", "i", "number")
 
 
 def _met(runs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Runs that are in the dictionary. A dictionary of a checked size is sent to the runs, which then are not shuffled; a larger one
-    is met by value, frequent runs (keyword or not) apart from the others."""
+    """(id, start, end, class): runs that are in the dictionary. A dictionary of a checked size is sent to the runs, which then are not
+    shuffled; of a larger one a filter is sent, and the runs that pass are written once and met by value, frequent ones (keyword or
+    not) apart from the others."""
     size = dictionary.agg(F.sum(F.length("value") + F.coalesce(F.length("class"), F.lit(0)) + 16)).collect()[0][0] or 0
     if size <= SENT:
-        return runs.join(F.broadcast(dictionary), "value")
-    return lookup_join(runs, dictionary, "value", "inner")
+        return runs.join(F.broadcast(dictionary), "value").select("id", *_place(), "class")
+    known = _filter(dictionary.select(F.xxhash64("value").alias("h")), _value_bits(F.col("h")))
+    hashed = runs.withColumn("h", F.xxhash64("value")).withColumn("bucket", _bucket(F.col("h"))).join(known, "bucket")
+    passed = hashed.where(F.col("bits").bitwiseAND(_value_bits(F.col("h"))) == _value_bits(F.col("h")))
+    return lookup_join(stage(passed.select("id", "value", *_place()), "runs"), dictionary, "value", "inner").select("id", "start", "end", "class")
 
 
-def extract_by_dictionary(texts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(id, text, entities, status) for (id, text): known keywords of any number of tokens, longest first, without overlap.
+def found_by_dictionary(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(id, entities) for (id, text): known keywords of any number of tokens, longest first, without overlap; texts without any are left out.
 
-    Runs of as many tokens as some keyword has meet the keyword table in an equi-join on the exact stored value, so the work grows
-    with the texts, not with texts times keywords; one very long keyword adds one run per token. A run is cut from its sentence: from
-    the document each cut would count characters from the document's start.
+    Runs of as many tokens as some keyword of the same first token meet the keyword table in an equi-join on the exact stored value, so
+    the work grows with the texts, not with texts times keywords. What is shuffled are runs equal to a keyword and, where the dictionary is
+    large, a few that a filter by hash lets pass, never all runs. A run is cut from its sentence: from the document each cut would count
+    characters from the document's start.
     """
-    cut = F.transform(sentences.extract_sentences(F.col("text")), lambda s: F.struct(s["offset"].alias("at"), s["text"].alias("sent"), spans.tokens_of(s).alias("tok")))
-    tok = texts.select("id", F.explode(cut).alias("s")).select("id", "s.*").where(F.size("tok") > 0)
-    tok = tok.crossJoin(F.broadcast(_run_lengths(keywords)))
-    runs = F.flatten(
-        F.transform(
-            F.col("tok"),
-            lambda t, i: F.transform(
-                F.transform(F.filter("lengths", lambda n: i + n <= F.size("tok")), lambda n: i + n - 1),
-                lambda j: F.struct(t["offset"].alias("start"), (F.get("tok", j)["offset"] + F.length(F.get("tok", j)["token"])).alias("end")),
-            ),
-        )
-    )
-    runs = tok.select("id", "at", "sent", F.explode(runs).alias("r"))
-    every = runs.select("id", F.lower(spans.cut(F.col("sent"), F.col("r.start") - F.col("at"), F.col("r.end") - F.col("at"))).alias("value"), "r.start", "r.end")
     dictionary = keywords.where(F.col("value").isNotNull()).groupBy("value").agg(F.min_by("type", "id").alias("class"))
-    hits = _met(every, dictionary)
+    hits = _met(_runs(texts, keywords), dictionary)
     per = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), "class"))).alias("h"))
     taken = F.aggregate(
         "h",
@@ -125,8 +178,13 @@ def extract_by_dictionary(texts: DataFrame, keywords: DataFrame) -> DataFrame:
             x["start"] >= F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(0)), F.concat(out, F.array(spans.span(x["start"], -x["back"], x["class"])))
         ).otherwise(out),
     )
-    out = texts.select("id", "text").join(per, "id", "left").select("id", "text", F.coalesce(taken, F.array().cast(SPANS)).alias("entities"))
-    return _as_extracted(out)
+    return per.select("id", taken.alias("entities"))
+
+
+def extract_by_dictionary(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(id, text, entities, status) for (id, text): the spans of ``found_by_dictionary``, none for a text without a keyword."""
+    out = texts.select("id", "text").join(found_by_dictionary(texts, keywords), "id", "left")
+    return _as_extracted(out.withColumn("entities", F.coalesce("entities", F.array().cast(SPANS))))
 
 
 def merge_with_saved(found: DataFrame, store: Store, carry_status: bool = False) -> DataFrame:

@@ -98,7 +98,11 @@ def override_class(text: Column, entities: Column, names: Column, kind: str) ->
 # --- Labels of tokens -------------------------------------------------------------------------------------------------
 
 
-def tokens_of(sentence: Column, pattern: str = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\p{Z}]") -> Column:
+#: A token: a word or a single mark.
+TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\p{Z}]"
+
+
+def tokens_of(sentence: Column, pattern: str = TOKEN) -> Column:
     """Tokens of a sentence struct (offset, text) as array<struct<token, offset>>; offsets count in the document.
 
     The default cuts into words and single marks. A language model's tokens may take its place (``operators.extract``).

@@ -309,7 +309,7 @@ def keyword_spans(spark, d):
     from spanloom.operators import documents
 
     kw = table(spark, d, "keyword").select("id", t.fix_keyword(F.col("value")).alias("value"), "type")
-    return _spans(extract.extract_by_dictionary(documents.eligible(docs(spark, d, "id", "is_active", "root_id", "text")).select("id", "text"), kw))
+    return _spans(extract.found_by_dictionary(documents.eligible(docs(spark, d, "id", "is_active", "root_id", "text")).select("id", "text"), kw))
 
 
 def _latin_words():
